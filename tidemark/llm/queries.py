@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import encoding, runs, split
+from tidemark.llm import encoding, runs, scans, split
 from tidemark.session import table as t
 
 QUERIES = {
     "p2_found": lambda s, d: runs.found_runs(t(s, d, "log_groups"), t(s, d, "devices")),
     "p2_collapsed": lambda s, d: runs.collapsed_groups(t(s, d, "log_groups"), t(s, d, "devices")),
+    "p3_found": lambda s, d: scans.found_faults(t(s, d, "files")),
+    "p3_repaired": lambda s, d: scans.repaired_files(t(s, d, "files")),
     "p5_found": lambda s, d: encoding.found_texts(t(s, d, "files")),
     "p5_restored": lambda s, d: encoding.restored_texts(t(s, d, "files")),
     "p6_found": lambda s, d: split.found_oversized(t(s, d, "chunks"), t(s, d, "chunking_config")),
