@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import encoding, runs, scans, split
+from tidemark.llm import encoding, runs, scans, sentences, split
 from tidemark.session import table as t
 
 QUERIES = {
@@ -14,6 +14,8 @@ QUERIES = {
     "p5_restored": lambda s, d: encoding.restored_texts(t(s, d, "files")),
     "p6_found": lambda s, d: split.found_oversized(t(s, d, "chunks"), t(s, d, "chunking_config")),
     "p6_pieces": lambda s, d: split.chunk_pieces(t(s, d, "chunks"), t(s, d, "chunking_config")),
+    "p9_found": lambda s, d: sentences.found_units(t(s, d, "documents")),
+    "p9_units": lambda s, d: sentences.sentence_units(t(s, d, "documents")),
 }
 
 ORACLES = {
