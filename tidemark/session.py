@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -64,6 +67,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, written once and removed when the driver ends; lost executors can read on."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone already
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
     shared_dir(df.sparkSession)
