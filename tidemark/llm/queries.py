@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import encoding, runs, scans, sentences, split
+from tidemark.llm import encoding, mixing, packing, runs, scans, sentences, split
+from tidemark.llm.tokens import document_sizes
 from tidemark.session import table as t
 
 QUERIES = {
@@ -14,6 +15,10 @@ QUERIES = {
     "p5_restored": lambda s, d: encoding.restored_texts(t(s, d, "files")),
     "p6_found": lambda s, d: split.found_oversized(t(s, d, "chunks"), t(s, d, "chunking_config")),
     "p6_pieces": lambda s, d: split.chunk_pieces(t(s, d, "chunks"), t(s, d, "chunking_config")),
+    "p7_bins": lambda s, d: packing.packed(document_sizes(t(s, d, "documents")), t(s, d, "pack_sizes")),
+    "p7_report": lambda s, d: packing.packing_report(packing.packed(document_sizes(t(s, d, "documents")), t(s, d, "pack_sizes"))),
+    "p8_mix": lambda s, d: mixing.mixed(document_sizes(t(s, d, "documents")), t(s, d, "mix_targets")),
+    "p8_shares": lambda s, d: mixing.mix_shares(document_sizes(t(s, d, "documents")), t(s, d, "mix_targets")),
     "p9_found": lambda s, d: sentences.found_units(t(s, d, "documents")),
     "p9_units": lambda s, d: sentences.sentence_units(t(s, d, "documents")),
 }
