@@ -14,6 +14,7 @@ rows are judged one by one. Nothing is sampled: counts cover all texts.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,34 +25,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stored
+
+_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f]+(?:[A-Za-z]+[^\x00-\x7f]*)*")
 
 # Chains of (bytes as, read as); "lossy" chains replace what cannot be read.
 READ_UTF8_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-2", "iso8859-15", "cp874", "gbk", "shift_jis")
-READ_LEGACY_AS = (
-    ("gbk", "latin-1"), ("gbk", "cp1252"), ("big5", "latin-1"), ("big5", "cp1252"), ("shift_jis", "latin-1"), ("shift_jis", "cp1252"),
-    ("euc_jp", "latin-1"), ("euc_kr", "latin-1"), ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "latin-1"), ("koi8-r", "cp1251"),
-    ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("iso8859-5", "cp1251"), ("tis-620", "latin-1"), ("cp1252", "mac_roman"),
-    ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp1250"),
-    ("cp1252", "cp1251"), ("mac_roman", "latin-1"),
-)
+READ_LEGACY_AS = {
+    "gbk": ("latin-1", "cp1252"), "big5": ("latin-1", "cp1252"), "shift_jis": ("latin-1", "cp1252"), "euc_jp": ("latin-1",), "euc_kr": ("latin-1",),
+    "cp1251": ("latin-1", "cp1252", "koi8-r", "cp866"), "koi8-r": ("latin-1", "cp1251"), "cp866": ("cp1251",), "iso8859-5": ("cp1251",),
+    "tis-620": ("latin-1",), "cp1252": ("mac_roman", "cp437", "cp850", "cp1250", "cp1251"), "mac_roman": ("cp1252", "latin-1"), "cp437": ("cp1252",),
+    "cp850": ("cp1252",),
+}
 READ_TWICE = (("latin-1", "latin-1"), ("cp1252", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "latin-1"))
-READ_AS_UTF8 = ("latin-1", "cp1252", "cp1251", "gbk", "shift_jis", "koi8-r")
 MULTIBYTE = {"utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"}
 FORM_SCHEMA = "form string, original string, chain string, wide boolean, n_original bigint"
 
 
+@lru_cache(maxsize=None)
+def _tables(encoding: str) -> tuple[str, str, bytes]:
+    """Decoding tables of a single-byte encoding, undefined bytes kept or open, and those bytes."""
+    known = [bytes([b]).decode(encoding, "ignore") for b in range(256)]
+    lost = bytes(b for b, c in enumerate(known) if not c)
+    return "".join(c or chr(b) for b, c in enumerate(known)), "".join(c or "\ufffe" for c in known), lost
+
+
 def read(data: bytes, encoding: str) -> set[str]:
     """What a reader may make of bytes: undefined ones kept as control characters, dropped or replaced."""
-    try:
-        return {data.decode(encoding)}
-    except UnicodeDecodeError:
-        pass
-    out = {data.decode(encoding, "ignore"), data.decode(encoding, "replace")}
-    if encoding not in MULTIBYTE:
-        out.add("".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in data))
-    return out
+    if encoding in MULTIBYTE:
+        try:
+            return {data.decode(encoding)}
+        except UnicodeDecodeError:
+            return {data.decode(encoding, "replace"), data.decode(encoding, "ignore")}
+    if encoding == "latin-1":
+        return {data.decode("latin-1")}
+    kept, open_, lost = _tables(encoding)
+    whole = codecs.charmap_decode(data, "strict", kept)[0]
+    if not lost or data.translate(None, lost) == data:
+        return {whole}
+    return {whole, codecs.charmap_decode(data, "ignore", open_)[0], codecs.charmap_decode(data, "replace", open_)[0]}
 
 
 def written(text: str, encoding: str) -> bytes | None:
@@ -72,10 +86,19 @@ def _fits(c: str) -> bool:
         return False
 
 
+# Encodings that texts of a script are kept in.
+LEGACY_OF = {
+    "CYRILLIC": ("cp1251", "koi8-r", "cp866", "iso8859-5"), "CJK": ("gbk", "big5", "shift_jis", "euc_jp"), "HANGUL": ("euc_kr",),
+    "THAI": ("tis-620",), "LATIN": ("cp1252", "mac_roman", "cp437", "cp850"), "": ("cp1252", "mac_roman", "gbk", "shift_jis"),
+}
+
+
 def garbled_forms(word: str) -> dict[tuple[str, str], bool]:
-    """(form, chain) of a word under every chain, and whether several characters stand for one."""
+    """(form, chain) of a word under every chain its script is written in, and whether several characters stand for one."""
     out: dict[tuple[str, str], bool] = {}
     utf8 = word.encode("utf-8", "ignore")
+    kinds = {script(c) for c in word if ord(c) > 127} - {""}
+    legacy = LEGACY_OF.get(next(iter(kinds), ""), ())
 
     def add(forms: set[str], chain: str, wide: bool) -> None:
         for form in forms:
@@ -87,12 +110,12 @@ def garbled_forms(word: str) -> dict[tuple[str, str], bool]:
     for first, second in READ_TWICE:
         for once in read(utf8, first):
             add(read(once.encode("utf-8", "ignore"), second), f"utf-8>{first}>utf-8>{second}", True)
-    for right, wrong in READ_LEGACY_AS:
-        if (data := written(word, right)) is not None:
+    for right in legacy:
+        if (data := written(word, right)) is None:
+            continue
+        for wrong in READ_LEGACY_AS.get(right, ()):
             add(read(data, wrong), f"{right}>{wrong}", right in MULTIBYTE)
-    for right in READ_AS_UTF8:
-        if (data := written(word, right)) is not None:
-            add({f for f in read(data, "utf-8") if "�" in f}, f"{right}>utf-8", True)
+        add({f for f in read(data, "utf-8") if "�" in f}, f"{right}>utf-8", True)
     return out
 
 
@@ -121,12 +144,17 @@ def impossible(word: str) -> bool:
     return any(script(c) == "!" for c in word if ord(c) > 127)
 
 
+@lru_cache(maxsize=100_000)
+def token_words(token: str) -> tuple[str, ...]:
+    found = dict.fromkeys(RUN.findall(token))
+    if any(script(r[0]) not in ("THAI", "DEVANAGARI", "CYRILLIC", "CJK") for r in found):
+        found.update(dict.fromkeys(w for w in WORD.findall(token) if len(w) < 64))
+    return tuple(found)
+
+
 def words(text: str) -> set[str]:
     """Distinct runs beyond ASCII, and those runs with the ASCII letters that touch them."""
-    found = set(RUN.findall(text))
-    if any(ord(r[0]) < 0x3000 and script(r[0]) not in ("THAI", "DEVANAGARI", "CYRILLIC", "CJK") for r in found):
-        found.update(w for w in WORD.findall(text) if len(w) < 64)
-    return found
+    return {w for token in set(_SPACE.split(text)) if not token.isascii() for w in token_words(token)}
 
 
 def text_words(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -222,14 +250,14 @@ def word_counts(pairs: DataFrame) -> DataFrame:
 
 
 def found_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    pairs = text_words(texts, key, text)
+    pairs = stored(text_words(texts, key, text))
     garbled = garbled_words(word_counts(pairs)).select("word")
     return pairs.join(garbled, "word").select(F.col("key").alias(key)).distinct()
 
 
 def restored_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """Found texts with verified originals put in, and how many garbled words were restored and not."""
-    pairs = text_words(texts, key, text)
+    pairs = stored(text_words(texts, key, text))
     garbled = garbled_words(word_counts(pairs))
     per = pairs.join(garbled, "word").groupBy("key").agg(
         F.collect_list(F.when(F.col("original").isNotNull() & ~F.col("word").contains("�"), F.struct("word", "original"))).alias("fixes"),
