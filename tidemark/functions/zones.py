@@ -10,7 +10,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 import numpy as np
 
 FIRST, LAST = 0, 4102444800  # 1970-01-01 and 2100-01-01, in seconds
-STEP = 43_200
+STEP = 5 * 86_400
 
 
 class ZoneTable(NamedTuple):
@@ -41,7 +41,7 @@ def tz_version() -> str:
 
 @lru_cache(maxsize=None)
 def zone_table(name: str | None) -> ZoneTable:
-    """Transitions of a zone, found by stepping half days and bisecting to the second; UTC where the name is unknown."""
+    """Transitions of a zone, found by stepping five days and bisecting to the second; UTC where the name is unknown."""
     try:
         zone = ZoneInfo(name) if name else ZoneInfo("UTC")
     except (ZoneInfoNotFoundError, ValueError, OSError):

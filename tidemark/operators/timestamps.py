@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.zones import labelled_to_utc, local_to_utc
+from tidemark.session import spread
 
 # English month names as logs print them.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -190,7 +191,7 @@ def _seconds(micros: Column) -> Column:
 
 def event_instants(events: DataFrame, devices: DataFrame) -> DataFrame:
     """Per event: ``ts_utc`` (the earlier instant), ``ts_utc_alt`` (the later) and ``iso_utc`` of what an earlier run made of it."""
-    slim = events.select("event_id", "file", "timestamp_raw", "timestamp_iso", "indexed_at")
+    slim = spread(events.select("event_id", "file", "timestamp_raw", "timestamp_iso", "indexed_at"))
     read = with_zone(slim, devices).select(
         "event_id",
         "timestamp_raw",
@@ -209,7 +210,7 @@ def group_instants(groups: DataFrame, devices: DataFrame) -> DataFrame:
     smallest later reading may be the earliest.
     """
     slim = with_zone(groups.select("group_id", "file", "timestamp_start", "indexed_at", F.col("events.timestamp_raw").alias("stamps")), devices)
-    flat = slim.select("group_id", "file", "_zone", "indexed_at", F.explode(F.array_distinct("stamps")).alias("stamp"))
+    flat = spread(slim).select("group_id", "file", "_zone", "indexed_at", F.explode(F.array_distinct("stamps")).alias("stamp"))
     read = flat.select(
         "group_id", utc_micros(F.col("stamp"), F.col("_zone"), file_date(F.col("file")), F.col("indexed_at")).alias("t")
     ).where("t.earliest is not null")

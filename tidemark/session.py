@@ -67,6 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer parts than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, written once and removed when the driver ends; lost executors can read on."""
     spark = df.sparkSession
