@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import stored
+from tidemark.session import spread, stored
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -168,7 +168,7 @@ def text_words(texts: DataFrame, key: str, text: str) -> DataFrame:
                     keys.extend([k] * len(w))
             yield pd.DataFrame({"key": keys, "word": pd.Series(found, dtype=object)})
 
-    return texts.select(key, text).mapInPandas(work, "key bigint, word string")
+    return spread(texts.select(key, text)).mapInPandas(work, "key bigint, word string")
 
 
 def form_table(counts: DataFrame) -> DataFrame:

@@ -84,12 +84,12 @@ def source_key(source):
 def mix_weights(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: target, weight, exponent, budget, whole passes and tokens of the last, partial one."""
     totals = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    everything = totals.agg(F.sum("tokens").alias("all_tokens"))
+    everything = totals.agg(F.sum("tokens")).first()[0] or 0
     wanted = targets.select("mix_name", source_key("source").alias("source"), "target_share", "max_repeats", "budget_ratio").where("mix_name is not null and source is not null")
     wanted = wanted.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("budget_ratio").alias("budget_ratio"))
     ratio = F.max("budget_ratio").over(Window.partitionBy("mix_name"))
-    rows = wanted.withColumn("budget_ratio", ratio).join(totals, "source", "left").join(everything, F.lit(True), "left")
-    rows = rows.withColumn("budget", F.coalesce(F.col("budget_ratio"), F.lit(1.0)) * F.coalesce("all_tokens", F.lit(0)))
+    rows = wanted.withColumn("budget_ratio", ratio).join(totals, "source", "left")
+    rows = rows.withColumn("budget", F.coalesce(F.col("budget_ratio"), F.lit(1.0)) * F.lit(float(everything)))
     return rows.select("mix_name", "source", "target_share", "max_repeats", "tokens", "budget").groupBy("mix_name").applyInPandas(_solve, _WEIGHTS)
 
 

@@ -116,9 +116,11 @@ def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
 def packed(sizes: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pack_name, capacity, bin_id, doc_id, piece_no, n_tokens, bin_tokens) for ``sizes`` with doc_id and n_tokens."""
     sizes = stored(sizes.where("n_tokens > 0").select("doc_id", "n_tokens"))
-    kinds = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    # one row per document and capacity: the capacities are a stated set, not a join partner that grows
-    items = sizes.join(kinds, F.lit(True)).withColumn("whole", F.floor(F.col("n_tokens") / F.col("capacity")))
+    kinds = packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().collect()  # a table of fixed size
+    each = F.array(*[F.struct(F.lit(k[0]).alias("pack_name"), F.lit(k[1]).cast("bigint").alias("capacity")) for k in sorted(kinds, key=str)])
+    kind = "array<struct<pack_name: string, capacity: bigint>>"
+    items = sizes.select("*", F.explode(each.cast(kind)).alias("_k")).select("doc_id", "n_tokens", "_k.pack_name", "_k.capacity")
+    items = items.withColumn("whole", F.floor(F.col("n_tokens") / F.col("capacity")))
     pieces = items.where("whole > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece_no"))
     full = pieces.select(
         "pack_name", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("bin_id"), "doc_id", "piece_no",

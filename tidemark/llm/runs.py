@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.timestamps import file_date, resolve, stamp_mask, with_zone
+from tidemark.session import spread
 
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 _TIMES = re.compile(
@@ -107,7 +108,7 @@ def event_runs(groups: DataFrame, devices: DataFrame, similarity: float = 0.8, m
     """One row per run of each group: its span of lines, first message, count and first and last instant."""
     masks = F.transform("events", lambda e: stamp_mask(e["timestamp_raw"]))
     trim = F.transform("events", lambda e: F.regexp_replace(e["timestamp_raw"], r"^\s+|\s+$", ""))
-    slim = with_zone(groups.select("group_id", "file", "events", "indexed_at"), devices).select(
+    slim = with_zone(spread(groups).select("group_id", "file", "events", "indexed_at"), devices).select(
         "group_id",
         "_zone",
         F.datediff(file_date(F.col("file")), F.lit("1970-01-01").cast("date")).cast("double").alias("day"),

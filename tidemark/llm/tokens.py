@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import spread
+
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
@@ -40,4 +42,4 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 def document_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; spellings of a source are one."""
     source = F.regexp_replace(F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")), r"[\s_]+", "-")
-    return documents.select("doc_id", source.alias("source"), token_count(F.col("text"), path).alias("n_tokens"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", source.alias("source"), token_count(F.col("text"), path).alias("n_tokens"))
