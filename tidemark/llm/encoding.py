@@ -201,15 +201,17 @@ def _verified(n_run: Column, n_original: Column, form: Column, wide: Column) ->
     return odd | (wide & (size >= 3)) | (wide & (size >= 2) & (n_original >= 2 * n_run)) | ((size >= 3) & (n_original >= 4 * n_run))
 
 
+def whole_matches(counts: DataFrame) -> DataFrame:
+    """Words that are a garbled form of another, with the original, the chain and whether that is verified."""
+    matches = counts.join(form_table(counts), F.col("word") == F.col("form"))
+    verified = _verified(F.col("n"), F.col("n_original"), F.col("form"), F.col("wide"))
+    return matches.select("word", "n", "original", "chain", "wide", "n_original", verified.alias("verified"))
+
+
 def garbled_words(counts: DataFrame) -> DataFrame:
-    """(word, original) for each garbled word; the original is null where only damage is certain."""
-    forms = form_table(counts)
-    whole = (
-        counts.join(forms, counts["word"] == forms["form"])
-        .where(_verified(F.col("n"), F.col("n_original"), F.col("form"), F.col("wide")))
-        .groupBy("word")
-        .agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))
-    )
+    """(word, original, chain) for each garbled word; the original is null where only damage is certain."""
+    matches = whole_matches(counts)
+    whole = matches.where("verified").groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("b")).select("word", "b.*")
     open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 4")
     units = unit_table(counts).select("form", "chain").distinct()
     windows = open_words.select(
@@ -225,8 +227,8 @@ def garbled_words(counts: DataFrame) -> DataFrame:
         .where("covered >= 6 and covered >= 0.7 * length(word)")
     )
     by_units = covered.groupBy("word").agg(F.max_by("chain", F.struct("covered", "chain")).alias("chain"))
-    undone = by_units.select("word", _undo(F.col("word"), F.col("chain")).alias("original"))
-    return whole.select("word", "original").unionByName(undone)
+    undone = by_units.select("word", _undo(F.col("word"), F.col("chain")).alias("original"), "chain")
+    return whole.unionByName(undone)
 
 
 @F.pandas_udf(T.StringType())
@@ -258,10 +260,17 @@ def found_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -
 def restored_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     """Found texts with verified originals put in, and how many garbled words were restored and not."""
     pairs = stored(text_words(texts, key, text))
-    garbled = garbled_words(word_counts(pairs))
-    per = pairs.join(garbled, "word").groupBy("key").agg(
-        F.collect_list(F.when(F.col("original").isNotNull() & ~F.col("word").contains("�"), F.struct("word", "original"))).alias("fixes"),
-        F.count("*").alias("n_garbled"),
+    counts = word_counts(pairs)
+    sure = pairs.join(garbled_words(counts), "word")
+    # words too short to be sure of are put right where the same text has a verified word of the same chain
+    short = whole_matches(counts).where("not verified and not wide and n_original >= 4 * n").select("word", "original", "chain")
+    chains = sure.where("chain is not null").select("key", "chain").distinct()
+    likely = pairs.join(short, "word").join(chains, ["key", "chain"]).join(sure.select("key", "word"), ["key", "word"], "left_anti")
+    likely = likely.groupBy("key", "word").agg(F.max("original").alias("original"))
+    hits = sure.select("key", "word", "original").unionByName(likely)
+    per = hits.groupBy("key").agg(
+        F.collect_set(F.when(F.col("original").isNotNull() & ~F.col("word").contains("\ufffd"), F.struct("word", "original"))).alias("fixes"),
+        F.countDistinct("word").alias("n_garbled"),
     )
     joined = texts.select(F.col(key).alias("key"), F.col(text).alias("_text")).join(per, "key")
     return joined.select(
