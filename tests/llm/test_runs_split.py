@@ -107,3 +107,27 @@ def test_settings(spark):
     assert got[1] == (10, 3, [" "]) and got[2] == (5, 4, [","]) and got[3] == (10, 2, [" "])
     assert {r[0] for r in split.found_oversized(chunks, config).collect()} == {1, 2, 3}
     assert split.found_oversized(chunks.limit(0), config.limit(0)).count() == 0
+
+
+def test_file_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(12)
+    rows, texts = [], {}
+    for i in range(4):
+        text = "".join(rng.choice(["wörd ", "x", ". ", "\n", "\n\n", "é", "😀", "索引", "abcdefghijklmnop"]) for _ in range(rng.choice([1, 300, 900])))
+        path = tmp_path / f"f{i}.txt"
+        path.write_bytes(text.encode())
+        texts[path.as_uri()] = text
+        rows.append((path.as_uri(), path.stat().st_size))
+    (tmp_path / "empty").write_bytes(b"")
+    files = spark.createDataFrame([*rows, ((tmp_path / "empty").as_uri(), 0)], "path string, n_bytes bigint")
+    for span in (64, 257, 1 << 20):
+        by = {}
+        for r in split.file_pieces(files, 20, 6, ["\n\n", "\n", ". ", " "], span).orderBy("path", "piece_no").collect():
+            by.setdefault(r["path"], []).append(r)
+        assert set(by) == {p for p, t in texts.items() if t}
+        for path, got in by.items():
+            text, data = texts[path], texts[path].encode()
+            assert [p["piece_no"] for p in got] == list(range(len(got)))
+            assert "".join(p["content"][p["overlap"] :] for p in got) == text
+            assert all(len(p["content"]) <= 20 for p in got)
+            assert all(text[p["start"] : p["start"] + p["chars"]] == p["content"][p["overlap"] :] == data[p["byte_start"] : p["byte_stop"]].decode() for p in got)
