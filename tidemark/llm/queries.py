@@ -23,7 +23,21 @@ QUERIES = {
     "p9_units": lambda s, d: sentences.sentence_units(t(s, d, "documents")),
 }
 
+_TIMES = (
+    r"\d{4}[-/]\d\d[-/]\d\d[t ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?: ?z\b| ?[+-]\d\d:?\d\d)?|\d{8}t\d{6}z?"
+    r"|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +\d\d? \d\d:\d\d:\d\d|\d\d?:\d\d(?::\d\d(?:[:.,]\d+)?)?(?: ?[ap]m\b)?"
+)
+
 ORACLES = {
+    "p2_found": rf"""
+        with e as (select group_id, unnest(events) as e from log_groups where events is not null),
+        one as (select group_id, e.line_no as line_no, max(e.message) as message from e where e.line_no is not null group by all),
+        w as (select group_id, line_no, case when message is null or trim(message) = '' then null else array_to_string(list_filter(
+            regexp_split_to_array(regexp_replace(lower(message), '{_TIMES}', ' ', 'g'), '[^a-z0-9]+'),
+            lambda x: x <> '' and not regexp_full_match(x, '(?:0x)?[0-9a-f]*[0-9][0-9a-f]*|0x[0-9a-f]+')), ' ') end as words from one),
+        f as (select *, coalesce(words = lag(words) over (partition by group_id order by line_no), false) as same from w),
+        r as (select *, count(*) filter (not same) over (partition by group_id order by line_no) as run from f)
+        select group_id, min(line_no) as line_start, max(line_no) as line_end from r where words is not null group by group_id, run having count(*) >= 3""",
     "p6_found": """
         select k.chunk_id from chunks k
         left join chunking_config c on c.project = k.project
