@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stored
+
 BLOCK_LINES = 8192
 
 # Spellings of levels and what they count as.
@@ -305,7 +307,7 @@ def _level(raw: Column) -> Column:
 
 def parsed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Per line its role and fields, before lines are joined to entries."""
-    lexed = lexed_lines(lines, block_lines)
+    lexed = stored(lexed_lines(lines, block_lines))
     roles = template_roles(lexed)
     field = lambda at: F.when(F.col(at).isNotNull(), F.try_element_at(F.col("tokens"), F.col(at) + 1))
     joined = lexed.join(roles, "mask", "left")
@@ -322,6 +324,7 @@ def parsed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
 def owned_lines(once: DataFrame) -> DataFrame:
     """Adds ``line_start`` of the entry that each line belongs to; null before a file's first entry."""
     header = F.col("kind").isin("entry", "open")
+    once = once.repartition("file", "_block")
     in_block = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = once.select(
         "*",
