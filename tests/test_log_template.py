@@ -75,3 +75,17 @@ def test_templates_merge_words_only():
     got = lt.merge_templates(["<TS> <LVL> a : took <N> ms", "<TS> <LVL> b : took <N> ms", "<TS> <LVL> b - took <N> ms"])
     assert got[0] == got[1] == "<TS> <LVL> <*> : took <N> ms" or got[1] == "<TS> <LVL> <*> : took <N> ms"
     assert got[2] == "<TS> <LVL> b - took <N> ms"
+
+
+def test_key_spellings_together(spark):
+    rows, want = [], []
+    for level in lt.LEVEL_KEYS[:3]:
+        for component in lt.COMPONENT_KEYS[:3]:
+            for first in (True, False):
+                n = len(rows) + 1
+                pairs = [f"{level}=warn", f"{component}=part-{'abc'[n % 3]}"]
+                a, b = pairs if first else reversed(pairs)
+                rows.append(("a.log", n, f'ts=2025-01-04T18:36:03.647Z {a} {b} msg="took 3 ms"'))
+                want.append(("a.log", n, n, "warning", f"part-{'abc'[n % 3]}"))
+    lines = spark.createDataFrame(rows, "file string, line_no int, line string")
+    assert sorted(tuple(r) for r in lt.found_entries(lines).collect()) == want

@@ -3,7 +3,7 @@
 1. Every line is lexed once: terminal colours, byte order marks and carriage returns go, the rest becomes tokens, each
    with a mask (time stamps, levels, numbers and quoted texts are variables, punctuation and words stay).
 2. Distinct masked lines pass a template tree of fixed depth: routed by token count and leading tokens, then merged
-   within the leaf where enough words agree; differing words become wildcards, structure never does.
+   within the leaf where enough words agree; differing words become wildcards, structure (keys too) never does.
 3. Each template is mapped to fields by position once; lines take their fields from those positions.
 4. Lines without a header belong to the last header before them in their file. A file is cut into blocks of lines, each
    solved for itself; a small table of block ends carries the open entry from block to block, so no task holds a file.
@@ -124,7 +124,8 @@ def merge_templates(masks: list[str], similarity: float = 0.5) -> list[str]:
     belongs: list[tuple[tuple[str, ...], int]] = []
     for mask in masks:
         tokens = mask.split(" ")
-        shape = tuple("w" if _is_word(t) else t for t in tokens)
+        # the word before an equals sign is a key: it says what the value is, so it is structure
+        shape = tuple("w" if _is_word(t) and after != "=" else t for t, after in zip(tokens, [*tokens[1:], ""]))
         best, most = -1, similarity
         known = clusters.setdefault(shape, [])
         for i, template in enumerate(known):
