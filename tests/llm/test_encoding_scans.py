@@ -88,3 +88,14 @@ def test_editor_held_out():
 def test_page_numbers():
     assert scans._value("xiv") == 14 and scans._value("l6") == 16
     assert scans.line_key("Checking the off5et tracker 12") == scans.line_key("Checking the offset tracker 7")
+
+
+def test_units_of_every_length(spark):
+    """Runs that occur clean only as other runs, decoded twice wrongly: their letters stand as 6, 7 and 8 characters."""
+    twice = lambda t: t.encode().decode("cp1252").encode().decode("cp1252")
+    clean = ["สวัสดีครับผู้ใช้งาน", "ระบบพร้อมทำงาน", "版本更换索引服务", "已就绪的文件"]
+    bad = {901: "ระบบผู้ใช้งาน", 902: "文件版本"}
+    rows = list(enumerate(clean)) + [(k, twice(t)) for k, t in bad.items()]
+    assert {r[0] for r in en.found_texts(files(spark, rows)).collect()} == set(bad)
+    fixed = {r["file_id"]: r["restored"] for r in en.restored_texts(files(spark, rows)).collect()}
+    assert fixed == bad

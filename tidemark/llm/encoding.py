@@ -191,7 +191,7 @@ def form_table(counts: DataFrame) -> DataFrame:
 def unit_table(counts: DataFrame) -> DataFrame:
     """Garbled forms of single characters, by chain, for words that match no form whole."""
     chars = counts.select(F.explode(F.split("word", "")).alias("word"), "n").where(r"word rlike '[^\\x00-\\x7f]'")
-    return form_table(chars.groupBy("word").agg(F.sum("n").alias("n"))).where("wide and length(form) between 2 and 9")
+    return form_table(chars.groupBy("word").agg(F.sum("n").alias("n"))).where("wide and length(form) >= 2")
 
 
 def _verified(n_run: Column, n_original: Column, form: Column, wide: Column) -> Column:
@@ -212,22 +212,25 @@ def garbled_words(counts: DataFrame) -> DataFrame:
     """(word, original, chain) for each garbled word; the original is null where only damage is certain."""
     matches = whole_matches(counts)
     whole = matches.where("verified").groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("b")).select("word", "b.*")
-    open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 4")
-    units = unit_table(counts).select("form", "chain").distinct()
+    # a word enters the windows by its hash, so that long words are not copied into each of them
+    open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 6").select("word", F.unhex(F.md5("word")).alias("id"))
+    units = stored(unit_table(counts).select("form", "chain").distinct())
+    longest = units.agg(F.max(F.length("form"))).first()[0] or 1
     windows = open_words.select(
-        "word",
-        F.explode(F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4, 6, 9))), lambda w: F.when(F.length("word") >= w, F.transform(
+        "id",
+        F.length("word").alias("length"),
+        F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max(2, longest)))), lambda w: F.transform(
             F.sequence(F.lit(1), F.length("word") - w + 1), lambda i: F.struct(i.alias("at"), w.alias("size"), F.substring(F.col("word"), i, w).alias("piece"))
-        )).otherwise(F.array())))).alias("x"),
-    ).select("word", "x.*")
+        )))).alias("x"),
+    ).select("id", "length", "x.*").where(r"piece rlike '[^\\x00-\\x7f]'")
     covered = (
         windows.join(units, windows["piece"] == units["form"])
-        .groupBy("word", "chain")
+        .groupBy("id", "length", "chain")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("covered"))
-        .where("covered >= 6 and covered >= 0.7 * length(word)")
+        .where("covered >= 6 and covered >= 0.7 * length")
     )
-    by_units = covered.groupBy("word").agg(F.max_by("chain", F.struct("covered", "chain")).alias("chain"))
-    undone = by_units.select("word", _undo(F.col("word"), F.col("chain")).alias("original"), "chain")
+    by_units = covered.groupBy("id").agg(F.max_by("chain", F.struct("covered", "chain")).alias("chain"))
+    undone = open_words.join(by_units, "id").select("word", _undo(F.col("word"), F.col("chain")).alias("original"), "chain")
     return whole.unionByName(undone)
 
 
