@@ -99,3 +99,13 @@ def test_units_of_every_length(spark):
     assert {r[0] for r in en.found_texts(files(spark, rows)).collect()} == set(bad)
     fixed = {r["file_id"]: r["restored"] for r in en.restored_texts(files(spark, rows)).collect()}
     assert fixed == bad
+
+
+def test_copies_of_a_garbled_text(spark):
+    """A text garbled by a single-byte chain is found under every file_id, however many there are."""
+    right = "В версии есть новый резервный раздел"
+    bad = right.encode("koi8-r").decode("cp1251")
+    rows = [(i, f"{right} {i}") for i in range(6)] + [(900 + i, bad) for i in range(40)]
+    assert {r[0] for r in en.found_texts(files(spark, rows)).collect()} == set(range(900, 940))
+    fixed = {r["file_id"]: r["restored"] for r in en.restored_texts(files(spark, rows)).collect()}
+    assert fixed == dict.fromkeys(range(900, 940), right)

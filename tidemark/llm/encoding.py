@@ -41,7 +41,8 @@ READ_LEGACY_AS = {
 }
 READ_TWICE = (("latin-1", "latin-1"), ("cp1252", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "latin-1"))
 MULTIBYTE = {"utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"}
-FORM_SCHEMA = "form string, original string, chain string, wide boolean, n_original bigint"
+FORM_SCHEMA = "form string, original string, chain string, wide boolean, n_original bigint, texts_original bigint"
+PART_ROWS = 20_000  # rows a Python worker hands over at a time
 
 
 @lru_cache(maxsize=None)
@@ -158,32 +159,42 @@ def words(text: str) -> set[str]:
 
 
 def text_words(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text_id, word) of every row; copies of a text under other keys share its text_id."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, found = [], []
-            for k, t in zip(batch[key], batch[text]):
+            keys, ids, found = [], [], []
+            for k, i, t in zip(batch[key], batch["text_id"], batch[text]):
                 if t is not None and not t.isascii():
                     w = words(t)
                     found.extend(w)
                     keys.extend([k] * len(w))
-            yield pd.DataFrame({"key": keys, "word": pd.Series(found, dtype=object)})
+                    ids.extend([i] * len(w))
+                if len(found) > PART_ROWS:
+                    yield pd.DataFrame({"key": keys, "text_id": ids, "word": pd.Series(found, dtype=object)})
+                    keys, ids, found = [], [], []
+            yield pd.DataFrame({"key": keys, "text_id": ids, "word": pd.Series(found, dtype=object)})
 
-    return spread(texts.select(key, text)).mapInPandas(work, "key bigint, word string")
+    return spread(texts.select(key, text, F.xxhash64(text).alias("text_id"))).mapInPandas(work, "key bigint, text_id bigint, word string")
 
 
 def form_table(counts: DataFrame) -> DataFrame:
     """Garbled forms of every distinct plausible word, and of the single characters of scripts without spaces."""
+    columns = ["form", "original", "chain", "wide", "n_original", "texts_original"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for word, n in zip(batch["word"], batch["n"]):
+            for word, n, n_texts in zip(batch["word"], batch["n"], batch["n_texts"]):
                 if not plausible(word):
                     continue
                 for (form, chain), wide in garbled_forms(word).items():
                     parts = [form] if form.isascii() or RUN.fullmatch(form) or WORD.fullmatch(form) else [p for p in RUN.findall(form) if len(p) > 1 or impossible(p)]
-                    out.extend((p, word, chain, wide, n) for p in parts)
-            yield pd.DataFrame(out, columns=["form", "original", "chain", "wide", "n_original"])
+                    out.extend((p, word, chain, wide, n, n_texts) for p in parts)
+                if len(out) > PART_ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return counts.mapInPandas(work, FORM_SCHEMA)
 
@@ -191,21 +202,27 @@ def form_table(counts: DataFrame) -> DataFrame:
 def unit_table(counts: DataFrame) -> DataFrame:
     """Garbled forms of single characters, by chain, for words that match no form whole."""
     chars = counts.select(F.explode(F.split("word", "")).alias("word"), "n").where(r"word rlike '[^\\x00-\\x7f]'")
-    return form_table(chars.groupBy("word").agg(F.sum("n").alias("n"))).where("wide and length(form) >= 2")
+    return form_table(chars.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n").alias("n_texts"))).where("wide and length(form) >= 2")
+
+
+def _times(k: int) -> Column:
+    """The original is k times as frequent as the form, in distinct texts or, where it isn't in fewer of these, in rows."""
+    texts, texts_original = F.col("n_texts"), F.col("texts_original")
+    return (texts_original >= k * texts) | ((texts_original >= texts) & (F.col("n_original") >= k * F.col("n")))
 
 
-def _verified(n_run: Column, n_original: Column, form: Column, wide: Column) -> Column:
+def _verified(form: Column, wide: Column) -> Column:
     """Enough evidence that the form isn't a word of its own."""
     odd = form.rlike(r"[\x80-\x9f�]")
     size = F.length(form)
-    return odd | (wide & (size >= 3)) | (wide & (size >= 2) & (n_original >= 2 * n_run)) | ((size >= 3) & (n_original >= 4 * n_run))
+    return odd | (wide & (size >= 3)) | (wide & (size >= 2) & _times(2)) | ((size >= 3) & _times(4))
 
 
 def whole_matches(counts: DataFrame) -> DataFrame:
     """Words that are a garbled form of another, with the original, the chain and whether that is verified."""
     matches = counts.join(form_table(counts), F.col("word") == F.col("form"))
-    verified = _verified(F.col("n"), F.col("n_original"), F.col("form"), F.col("wide"))
-    return matches.select("word", "n", "original", "chain", "wide", "n_original", verified.alias("verified"))
+    verified = _verified(F.col("form"), F.col("wide"))
+    return matches.select("word", "original", "chain", "wide", "n_original", verified.alias("verified"), _times(4).alias("frequent"))
 
 
 def garbled_words(counts: DataFrame) -> DataFrame:
@@ -251,7 +268,9 @@ def _undo(form: pd.Series, chain: pd.Series) -> pd.Series:
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("word").agg(F.count("*").alias("n"))
+    """Rows and distinct texts of each word."""
+    per_text = pairs.groupBy("word", "text_id").agg(F.count("*").alias("n"))
+    return stored(per_text.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts")))
 
 
 def found_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
@@ -266,7 +285,7 @@ def restored_texts(texts: DataFrame, key: str = "file_id", text: str = "content"
     counts = word_counts(pairs)
     sure = pairs.join(garbled_words(counts), "word")
     # words too short to be sure of are put right where the same text has a verified word of the same chain
-    short = whole_matches(counts).where("not verified and not wide and n_original >= 4 * n").select("word", "original", "chain")
+    short = whole_matches(counts).where("not verified and not wide and frequent").select("word", "original", "chain")
     chains = sure.where("chain is not null").select("key", "chain").distinct()
     likely = pairs.join(short, "word").join(chains, ["key", "chain"]).join(sure.select("key", "word"), ["key", "word"], "left_anti")
     likely = likely.groupBy("key", "word").agg(F.max("original").alias("original"))
