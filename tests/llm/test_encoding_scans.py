@@ -109,3 +109,17 @@ def test_copies_of_a_garbled_text(spark):
     assert {r[0] for r in en.found_texts(files(spark, rows)).collect()} == set(range(900, 940))
     fixed = {r["file_id"]: r["restored"] for r in en.restored_texts(files(spark, rows)).collect()}
     assert fixed == dict.fromkeys(range(900, 940), right)
+
+
+def test_copies_of_a_scan(spark):
+    """Misread words count however often their scan was read again, and a sign amid letters needs one clean file only."""
+    rng = random.Random(6)
+    clean = [(i, "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(9)) + "." for _ in range(14)), False, "documentation") for i in range(30)]
+    clean[0] = (0, clean[0][1] + " The thermostat is on.", False, "documentation")
+    lines = scan_text(rng)
+    lines[7] = "when tbe calibration table rneasured quiet"
+    lines[9] = "when the therm0stat table quiet"
+    rows = clean + [(900 + i, "\n".join(lines), True, "documentation") for i in range(60)]
+    table = spark.createDataFrame(rows, "file_id bigint, content string, is_pdf boolean, file_type string")
+    got = {(r["file_id"], r["line_no"]) for r in scans.found_faults(table).where("fault = 'misread'").collect()}
+    assert got == {(900 + i, n) for i in range(60) for n in (8, 10)}
