@@ -123,3 +123,19 @@ def test_copies_of_a_scan(spark):
     table = spark.createDataFrame(rows, "file_id bigint, content string, is_pdf boolean, file_type string")
     got = {(r["file_id"], r["line_no"]) for r in scans.found_faults(table).where("fault = 'misread'").collect()}
     assert got == {(900 + i, n) for i in range(60) for n in (8, 10)}
+
+
+def test_single_edits_beyond_the_beam(spark):
+    """One misread character of a long word is put right wherever it stands, however low the editor ranks it."""
+    right = ["temperaturfühlersicherungsschaltung", "druckventilsteuerungseinheiten", "verbindungsleitungsbeschreibungen"]
+    want = {}
+    for word in right:
+        for a, b in scans.MISREADINGS[:24]:
+            if a in word:
+                wrong = word.replace(a, b, 1)
+                want[wrong] = want[wrong[:-4] + "-" + scans.BREAK + wrong[-4:]] = word
+
+    rows = spark.createDataFrame([(w, 1, 1, 1) for w in want], "word string, file_id bigint, n bigint, text_id bigint")
+    lexicon = spark.createDataFrame([(w, 9) for w in right], "word string, n_clean bigint")
+    got = {r["word"]: r["fixed"] for r in scans.corrections(rows, lexicon, scans.train_editor(list(VOCABULARY))).collect()}
+    assert {w: got.get(w) for w in want} == want
