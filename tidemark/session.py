@@ -73,6 +73,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def widened(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many parts as a shuffle has, which the adaptive planner leaves as they are: before steps that make many rows of few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, written once and removed when the driver ends; lost executors can read on."""
     spark = df.sparkSession
@@ -88,9 +93,3 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the JVM may be gone already
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
