@@ -139,3 +139,13 @@ def test_single_edits_beyond_the_beam(spark):
     lexicon = spark.createDataFrame([(w, 9) for w in right], "word string, n_clean bigint")
     got = {r["word"]: r["fixed"] for r in scans.corrections(rows, lexicon, scans.train_editor(list(VOCABULARY))).collect()}
     assert {w: got.get(w) for w in want} == want
+
+
+def test_long_and_short_words(spark):
+    """Words of more than 64 characters match by whole form; a short one that no clean text has counts where it reads as letters."""
+    long = "Ä" + "Überspannungsschutzgerätesteuerung" * 3
+    clean = [(i, f"{long} früh Fühler") for i in range(8)]
+    bad = {901: f"a {long.encode().decode('latin-1')} b", 902: "x" + "é".encode().decode("cp1252") + "y", 903: "ok " + "ŋ".encode().decode("latin-1")}
+    good = [(801, "± 3 °C"), (802, "5 µm – »x«")]
+    rows = clean + good + [(700, "é ŋ é")] + list(bad.items())
+    assert {r[0] for r in en.found_texts(files(spark, rows)).collect()} == set(bad)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import spread, stored
+from tidemark.session import spread, stored, widened
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -149,7 +149,7 @@ def impossible(word: str) -> bool:
 def token_words(token: str) -> tuple[str, ...]:
     found = dict.fromkeys(RUN.findall(token))
     if any(script(r[0]) not in ("THAI", "DEVANAGARI", "CYRILLIC", "CJK") for r in found):
-        found.update(dict.fromkeys(w for w in WORD.findall(token) if len(w) < 64))
+        found.update(dict.fromkeys(WORD.findall(token)))
     return tuple(found)
 
 
@@ -196,7 +196,7 @@ def form_table(counts: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=columns)
 
-    return counts.mapInPandas(work, FORM_SCHEMA)
+    return widened(counts, "word").mapInPandas(work, FORM_SCHEMA)
 
 
 def unit_table(counts: DataFrame) -> DataFrame:
@@ -219,21 +219,24 @@ def _verified(form: Column, wide: Column) -> Column:
 
 
 def whole_matches(counts: DataFrame) -> DataFrame:
-    """Words that are a garbled form of another, with the original, the chain and whether that is verified."""
-    matches = counts.join(form_table(counts), F.col("word") == F.col("form"))
+    """Words that are a garbled form of another, with the original, the chain and whether that is verified.
+
+    Forms come out of Python in numbers the planner can't foresee, so they are hinted to a sort-merge join; the matches,
+    few, are stored for the steps that read them.
+    """
+    matches = counts.join(form_table(counts).hint("merge"), F.col("word") == F.col("form"))
     verified = _verified(F.col("form"), F.col("wide"))
-    return matches.select("word", "original", "chain", "wide", "n_original", verified.alias("verified"), _times(4).alias("frequent"))
+    return stored(matches.select("word", "original", "chain", "wide", "n_original", verified.alias("verified"), _times(4).alias("frequent")))
 
 
-def garbled_words(counts: DataFrame) -> DataFrame:
+def garbled_words(counts: DataFrame, matches: DataFrame) -> DataFrame:
     """(word, original, chain) for each garbled word; the original is null where only damage is certain."""
-    matches = whole_matches(counts)
     whole = matches.where("verified").groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("b")).select("word", "b.*")
     # a word enters the windows by its hash, so that long words are not copied into each of them
-    open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 6").select("word", F.unhex(F.md5("word")).alias("id"))
+    open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 2").select("word", F.unhex(F.md5("word")).alias("id"))
     units = stored(unit_table(counts).select("form", "chain").distinct())
     longest = units.agg(F.max(F.length("form"))).first()[0] or 1
-    windows = open_words.select(
+    windows = widened(open_words, "id").select(
         "id",
         F.length("word").alias("length"),
         F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max(2, longest)))), lambda w: F.transform(
@@ -241,14 +244,16 @@ def garbled_words(counts: DataFrame) -> DataFrame:
         )))).alias("x"),
     ).select("id", "length", "x.*").where(r"piece rlike '[^\\x00-\\x7f]'")
     covered = (
-        windows.join(units, windows["piece"] == units["form"])
+        windows.join(units.hint("merge"), F.col("piece") == F.col("form"))
         .groupBy("id", "length", "chain")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("covered"))
-        .where("covered >= 6 and covered >= 0.7 * length")
+        .where("covered >= 6 and covered >= 0.7 * length or covered = length and chain like 'utf-8>%'")
     )
     by_units = covered.groupBy("id").agg(F.max_by("chain", F.struct("covered", "chain")).alias("chain"))
-    undone = open_words.join(by_units, "id").select("word", _undo(F.col("word"), F.col("chain")).alias("original"), "chain")
-    return whole.unionByName(undone)
+    undone = open_words.join(by_units, "id").select("word", "chain", F.length("word").alias("size"), _undo(F.col("word"), F.col("chain")).alias("original"))
+    # a short word counts only where it reads as whole letters of another text
+    undone = undone.where("size >= 6 or original rlike '^[\\\\p{L}\\\\p{M}]+$'").select("word", "original", "chain")
+    return stored(whole.unionByName(undone))
 
 
 @F.pandas_udf(T.StringType())
@@ -275,7 +280,8 @@ def word_counts(pairs: DataFrame) -> DataFrame:
 
 def found_texts(texts: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
     pairs = stored(text_words(texts, key, text))
-    garbled = garbled_words(word_counts(pairs)).select("word")
+    counts = word_counts(pairs)
+    garbled = garbled_words(counts, whole_matches(counts)).select("word")
     return pairs.join(garbled, "word").select(F.col("key").alias(key)).distinct()
 
 
@@ -283,9 +289,10 @@ def restored_texts(texts: DataFrame, key: str = "file_id", text: str = "content"
     """Found texts with verified originals put in, and how many garbled words were restored and not."""
     pairs = stored(text_words(texts, key, text))
     counts = word_counts(pairs)
-    sure = pairs.join(garbled_words(counts), "word")
+    matches = whole_matches(counts)
+    sure = pairs.join(garbled_words(counts, matches), "word")
     # words too short to be sure of are put right where the same text has a verified word of the same chain
-    short = whole_matches(counts).where("not verified and not wide and frequent").select("word", "original", "chain")
+    short = matches.where("not verified and not wide and frequent").select("word", "original", "chain")
     chains = sure.where("chain is not null").select("key", "chain").distinct()
     likely = pairs.join(short, "word").join(chains, ["key", "chain"]).join(sure.select("key", "word"), ["key", "word"], "left_anti")
     likely = likely.groupBy("key", "word").agg(F.max("original").alias("original"))
