@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import mixing, packing
-from tidemark.llm.sentences import Judge, blocks, evidence, found_units, sentence_units, unit_starts
+from tidemark.llm.sentences import Judge, analyse, blocks, found_units, sentence_units, unit_starts
 from tidemark.llm.tokens import TOKENIZER, document_sizes, tokenizer
 
 CORPUS = {
@@ -13,8 +13,10 @@ CORPUS = {
 }
 
 
-def units(text):
-    starts = unit_starts(text, Judge(evidence(text), CORPUS))
+def units(text, corpus=CORPUS, own=True):
+    found = analyse(text)
+    judge = Judge({k: tuple(v) for k, v in found.counts.items()} if own else {}, {k: (*v, 0, 0)[:4] for k, v in corpus.items()})
+    starts = unit_starts(found, judge)
     return [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text)])]
 
 
@@ -48,6 +50,39 @@ def test_scripts_without_spaces(want):
     assert units("".join(want)) == want
 
 
+def test_document_before_corpus():
+    """What the document shows free of doubt outweighs the corpus, and only then."""
+    corpus = CORPUS | {"a:Mod": (40, 0, 90, 0), "s:Navik": (9, 9), "s:Press": (9, 9)}
+    text = "It has Mod. 5 and Mod. 7 inside. Use Mod. 9 now. Press it."
+    assert units(text, corpus) == ["It has Mod. 5 and Mod. 7 inside.", "Use Mod. 9 now.", "Press it."]
+    assert len(units(text, corpus, own=False)) == 6
+    text = "The lid of Navik is shut, so Navik stops. See Fig. Navik here."
+    assert units(text, corpus) == ["The lid of Navik is shut, so Navik stops.", "See Fig. Navik here."]
+    assert len(units(text, corpus, own=False)) == 3
+    text = "We say again and again that it works again. powerd stops. Again it works."
+    assert units(text) == ["We say again and again that it works again.", "powerd stops.", "Again it works."]
+
+
+@pytest.mark.parametrize("n", [5, 50, 250, 2500])
+def test_long_quotations(n):
+    """A quotation is one with its sentence, whatever its length; one that never closes holds nothing together."""
+    inner = "为什么离线？" * n
+    assert units(f"屏幕显示“{inner}”，随后过热。请等待。") == [f"屏幕显示“{inner}”，随后过热。", "请等待。"]
+    assert len(units(f"屏幕显示“{inner}随后过热。请等待。")) == n + 2
+
+
+def test_script_of_whole_block():
+    """A block that begins in another script for long is judged by all of its letters."""
+    text = "索引 " * 150 + "and it runs at approx. 3 V in the long part of this block, " * 40 + "as Fig. 5 says. Then it stops."
+    assert units(text)[-1] == "Then it stops."
+    assert analyse(text).counts["a:approx"][1] == 40
+
+
+def test_long_words_before_stops():
+    word = "x" * 300
+    assert analyse(f"a {word}. 5 b {word}. 6 c").counts["a:" + word][:2] == [2, 2]
+
+
 def test_thai_and_blocks():
     assert units("ทุกอย่างเรียบร้อยดี รุ่น1.4.0ย้ายแผง") == ["ทุกอย่างเรียบร้อยดี", "รุ่น1.4.0ย้ายแผง"]
     text = "# Head. With stop\nText one. Text two.\n\n1. First. Item\n2. Second\n - not\n \nHEAD\n\n217. Then"

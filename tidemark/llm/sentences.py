@@ -1,24 +1,28 @@
 """Sentence units across languages and scripts, by document-centred disambiguation.
 
-A text falls into blocks first: headings, list items and paragraphs. Inside a paragraph the script of the letters around
-a terminator chooses the rule. Full stops after words of cased scripts are ambiguous; whether a word before a full stop
-is an abbreviation, and whether a word after it opens sentences, is read from unambiguous occurrences in the same
-document (what follows stops in lower case or figures; what stands first in blocks or after question marks), with the
-counts of the whole corpus behind it. Counts cover all documents and reach each document by a join on its own words.
+One pass cuts a text into blocks (headings, list items and paragraphs), sets the starts that no word can change, and
+keeps every other place as a candidate with the words around it. The script of the letters in a paragraph chooses the
+rule for its terminators. Whether the word before a full stop is an abbreviation, and whether the capitalised word after
+it is a proper name or opens a sentence, is read from unambiguous occurrences elsewhere in the same document: what
+stands before a stop and goes on in lower case or figures, what stands without a stop, what is capitalised amid a
+sentence, what is written small, what stands first in blocks or after question marks. Where the document has no such
+occurrence the counts of the whole corpus decide. They cover all documents and reach each one by a join on its words.
 
 Defined results: null, empty and blank texts have no unit; positions count code points from 1; a blank line (spaces
 only, too) ends a unit, a line break inside a paragraph does not; a heading and a list item are one unit each, starting
-at their marks; an ellipsis alone ends nothing; what is quoted within a sentence belongs to it; Thai is cut at spaces.
-Repeated rows give their own units.
+at their marks; an ellipsis alone ends nothing; what is quoted within a sentence belongs to it, however long; a quotation
+that never closes counts for nothing; Thai is cut at spaces. Repeated rows give their own units.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import spread, stored
 
-ABBREVIATION_RATE, PRIOR = 0.3, 10.0
+ABBREVIATION_RATE = 0.3  # of the occurrences of a word, those that show it to be abbreviated
+SALTS = 8  # parts of a word that nearly every document needs to know about
 CLOSERS = "\"'”’»“)]}」』）】〉》›"
 OPENERS = "\"'“„‚‘«»([{「『（【〈《¿¡‹—–-"
 # Terminators that need no space after them, and those of other scripts.
@@ -42,7 +47,7 @@ _NUMBER = re.compile(r"[ \t]*\(?(\d{1,3})[.)．、）]")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _BLANK = re.compile(r"\s*$")
 _END = re.compile(rf"[.!?…{WIDE_ENDS}{OTHER_ENDS}]+")
-_WORD_BEFORE = re.compile(r"\S+$")
+_SPACE = re.compile(r"\s+")
 _UNSPACED = re.compile(r"(?:[a-zß-ÿа-яё]{2}|[a-z)%]\d|\d\d)[.!?]([A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+)(?=\s|\.\.|…)")
 _DOTTED = re.compile(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}")
 _TRIM = "\"'“”„‚‘’«»()[]{}<>¿¡「」『』（）,;:*_`|"
@@ -160,115 +165,125 @@ def _single(word: str) -> bool:
     return len(b) == 1 and b.isalpha() and word[1:2] in (".", ")", ",", ";", "]") or bool(re.match(r"[A-ZÀ-Þ]{2,3}\.", word))
 
 
-def stops(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, str, bool]]:
-    """Full stops of a block with a space after them: (position, end of the run, word before, next word, closed quote)."""
-    for m in _END.finditer(text, start, end):
-        if m[0] != ".":
-            continue
-        after = m.end()
-        while after < end and text[after] in CLOSERS:
-            after += 1
-        if after < end and text[after].isspace():
-            left = _WORD_BEFORE.search(text, max(start, m.start() - 40), m.start())
-            yield m.start(), after, stem_before(left[0]) if left else "", _next_word(text, after, end)[1], after > m.end()
+def word_before(text: str, start: int, at: int) -> str:
+    """The word that ends right before ``at``, as it is counted."""
+    k = at
+    while k > start and not text[k - 1].isspace():
+        k -= 1
+    return stem_before(text[k:at])
 
 
-def evidence(text: str) -> dict[str, list[int]]:
-    """Counts of one document: ``a:`` words before stops (all, unambiguous), ``s:`` openers (at clear starts, elsewhere)."""
-    out: dict[str, list[int]] = {}
+class Candidate(NamedTuple):
+    """A place where a unit may start: after a ``stop``, a ``closed`` bracket, or ``glued`` to the stop before it."""
 
-    def count(key: str, a: int, b: int) -> None:
-        row = out.setdefault(key, [0, 0])
-        row[0] += a
-        row[1] += b
+    at: int
+    rule: str
+    word: str
+    next_word: str
+    opened: bool
 
-    for start, end, _ in blocks(text):
-        first = bare(_next_word(text, start, end)[1])
-        if first and not first[0].isdigit():
-            count("s:" + first, 1, 0)
-        if main_script(text[start:end][:400]) != "cased":
-            continue
-        for m in _END.finditer(text, start, end):
-            if m[0][-1] in "!?" and m.end() < end and text[m.end()].isspace():
-                if nxt := bare(_next_word(text, m.end(), end)[1]):
-                    if nxt[0].isupper():
-                        count("s:" + nxt, 1, 0)
-        for _, _, word, nxt, closed in stops(text, start, end):
-            if word and not closed and not word[-1].isdigit():
-                count("a:" + word, 1, int(_goes_on(nxt) or _single(nxt)))
-            if nxt and nxt[0].isupper() and (b := bare(nxt)):
-                count("s:" + b, 0, 1)
-    return out
 
+class Analysis(NamedTuple):
+    """What one text says by itself; ``counts`` are its unambiguous occurrences.
 
-class Judge:
-    """Decisions for one document from its own counts and those of the corpus."""
+    ``a:`` words before stops: all, those that go on, those that stand without a stop. ``s:`` words after stops: at clear
+    starts, after stops, capitalised amid a sentence, written small.
+    """
 
-    def __init__(self, own: dict[str, list[int]], corpus: dict[str, tuple[int, int]]) -> None:
-        self.own, self.corpus = own, corpus
+    starts: list[int]
+    candidates: list[Candidate]
+    counts: dict[str, list[int]]
 
-    def abbreviation(self, word: str) -> bool:
-        if not word or word[-1].isdigit():
-            return False
-        if _DOTTED.fullmatch(word):
-            return True
-        total, clear = self.own.get("a:" + word, (0, 0))
-        all_total, all_clear = self.corpus.get("a:" + word, (0, 0))
-        if all_total:
-            rate = (clear + PRIOR * all_clear / all_total) / (total + PRIOR)
-        else:
-            rate = clear / total if total else 0.0
-        if all_total < 5 and len(word) > 5:
-            return False
-        return rate >= ABBREVIATION_RATE
 
-    def certain(self, word: str) -> bool:
-        """An abbreviation that hardly ever ends a sentence."""
-        total, clear = self.corpus.get("a:" + word, self.own.get("a:" + word, (0, 0)))
-        if len(word) == 1 and word.isupper():
-            return False
-        return bool(_DOTTED.fullmatch(word)) or (total > 0 and clear >= 0.8 * total)
+_QUOTES = {"「": "」", "『": "』", "（": "）", "“": "”", "《": "》"}
+_ANY_QUOTE = re.compile("[" + "".join(_QUOTES) + "".join(_QUOTES.values()) + "]")
 
-    def opens_small(self, word: str) -> bool:
-        """Whether a word in lower case, such as a program's name, is known to open sentences as it is."""
-        if not word[:1].islower():
-            return False
-        mine = self.own.get("s:" + word, (0, 0))[0]
-        total = self.corpus.get("s:" + word, (mine, 0))[0]
-        title = word[0].upper() + word[1:]
-        return total >= 2 and total > max(self.corpus.get("s:" + title, (0, 0))[0], self.own.get("s:" + title, (0, 0))[0])
 
-    def opens(self, word: str) -> bool:
-        """Whether a capitalised word is known to open sentences."""
-        mine = self.own.get("s:" + word, (0, 0))[0]
-        total, after = self.corpus.get("s:" + word, (0, 0))
-        return mine > 0 or total >= 2 or (total > 0 and after > 0)
+def quotations(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Outermost quotations and brackets of a block that do close."""
+    open_: dict[str, list[int]] = {c: [] for c in _QUOTES.values()}
+    found = []
+    for m in _ANY_QUOTE.finditer(text, start, end):
+        if m[0] in _QUOTES:
+            open_[_QUOTES[m[0]]].append(m.start())
+        elif open_[m[0]]:
+            found.append((open_[m[0]].pop(), m.start()))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
+    return out
 
 
-def unit_starts(text: str, judge: Judge) -> list[int]:
-    """Positions, from 0, of the first character of each unit."""
-    out: list[int] = []
+def _within(spans: list[tuple[int, int]], at: int, after: int) -> bool:
+    k = bisect_right(spans, (at, 1 << 62)) - 1
+    return k >= 0 and spans[k][0] < at and spans[k][1] >= after
+
+
+def analyse(text: str) -> Analysis:
+    """One pass over a text."""
+    starts: list[int] = []
+    candidates: list[Candidate] = []
+    counts: dict[str, list[int]] = {}
+
+    def count(key: str, *more: int) -> None:
+        row = counts.setdefault(key, [0, 0, 0, 0])
+        for k, n in enumerate(more):
+            row[k] += n
+
     for start, end, whole in blocks(text):
         at = start
         while at < end and text[at].isspace():
             at += 1
         if at >= end:
             continue
-        out.append(at)
-        if not whole:
-            out.extend(_inner(text, at, end, judge))
-    return out
+        starts.append(at)
+        first = bare(_next_word(text, at, end)[1])
+        if first and not first[0].isdigit():
+            count("s:" + first, 1)
+        _judge_block(text, at, end, whole, starts, candidates, count)
+    _count_elsewhere(text, candidates, counts)
+    return Analysis(starts, candidates, counts)
 
 
-def _inner(text: str, start: int, end: int, judge: Judge) -> Iterator[int]:
+def _count_elsewhere(text: str, candidates: list[Candidate], counts: dict[str, list[int]]) -> None:
+    """Adds where the words at stake stand free of doubt: without a stop, amid a sentence, small."""
+    after = {b for c in candidates if (b := bare(c.next_word)) and b[0].isupper()} | {c.next_word for c in candidates if c.rule == "glued"}
+    before = {c.word for c in candidates if c.word}
+    if not after and not before:
+        return
+    tokens = text.split()
+    plain = Counter(w for t in tokens if (w := t.rstrip(",;:")) in before)
+    for word, n in plain.items():
+        counts.setdefault("a:" + word, [0, 0, 0, 0])[2] += n
+    small = {w.lower(): w for w in after}
+    known = after | small.keys()
+    last = "."
+    for token in tokens:
+        word = token if token in known else token.rstrip(",;:.!?")
+        if word in known:
+            if word in after:
+                if last[-1].islower():
+                    counts.setdefault("s:" + word, [0, 0, 0, 0])[2] += 1
+            else:
+                counts.setdefault("s:" + small[word], [0, 0, 0, 0])[3] += 1
+        last = token
+
+
+def _judge_block(text: str, start: int, end: int, whole: bool, starts: list[int], candidates: list[Candidate], count) -> None:
     kind = main_script(text[start:end])
     if kind == "thai":
-        for m in re.finditer(r"\s+", text[start:end]):
-            if m.end() < end - start:
-                yield start + m.end()
+        if not whole:
+            starts.extend(m.end() for m in _SPACE.finditer(text, start, end) if m.end() < end)
         return
+    spans = quotations(text, start, end) if kind == "wide" and not whole else []
     for m in _END.finditer(text, start, end):
         run, after = m[0], m.end()
+        last = run[-1]
+        if kind == "cased" and last in "!?" and after < end and text[after].isspace():
+            opener = bare(_next_word(text, after, end)[1])
+            if opener and opener[0].isupper():
+                count("s:" + opener, 1)
         if not run.strip("….") and run != ".":
             continue  # an ellipsis alone
         while after < end and text[after] in CLOSERS:
@@ -277,126 +292,205 @@ def _inner(text: str, start: int, end: int, judge: Judge) -> Iterator[int]:
         if after >= end:
             continue
         begin, nxt = _next_word(text, after, end)
-        if not nxt:
-            continue
         spaced = text[after].isspace()
-        last = run[-1]
+        word = ""
+        if run == "." and spaced and kind == "cased":
+            word = word_before(text, start, m.start())
+            if word and not closed and not word[-1].isdigit():
+                count("a:" + word, 1, int(_goes_on(nxt) or _single(nxt)))
+            if nxt and nxt[0].isupper() and (b := bare(nxt)):
+                count("s:" + b, 0, 1)
+        if whole or not nxt:
+            continue
         if last in WIDE_ENDS or (kind == "wide" and last in "!?"):
-            if _inside(text, start, m.start(), after) or (closed and text[begin] in GOES_ON):
-                continue
-            yield begin
+            if not _within(spans, m.start(), after) and not (closed and text[begin] in GOES_ON):
+                starts.append(begin)
             continue
         if not spaced:
             glued = _UNSPACED.match(text, max(start, m.start() - 2), end) if not closed else None
-            if glued and (last != "." or judge.opens(glued[1])):
-                yield after
-            elif last in OTHER_ENDS and script_of(text[after]) == "other":
-                yield after
+            if glued and last == ".":
+                candidates.append(Candidate(after, "glued", "", glued[1], False))
+            elif glued or last in OTHER_ENDS and script_of(text[after]) == "other":
+                starts.append(after)
             continue
-        first = nxt[0]
+        first, mark = nxt[0], text[begin]
         if closed:
             # a quotation or bracket ends here: the sentence ends too only where a new one clearly opens
             inner_quote = any(c in "\"”“»’'" for c in text[m.end() : after])
-            if run == "." and not inner_quote:
-                left = _WORD_BEFORE.search(text, max(start, m.start() - 40), m.start())
-                if left and (judge.abbreviation(stem_before(left[0])) or len(stem_before(left[0])) == 1):
-                    continue
-            if kind == "cased" and (first.isupper() or text[begin] in "“„«¿¡\"") and not (inner_quote and not first.isupper()):
-                yield begin
+            if kind == "cased" and (first.isupper() or mark in "“„«¿¡\"") and not (inner_quote and not first.isupper()):
+                if run == "." and not inner_quote:
+                    candidates.append(Candidate(begin, "closed", word, nxt, False))
+                else:
+                    starts.append(begin)
             continue
         if last in OTHER_ENDS or last in "!?":
-            if kind == "cased" and text[begin] in "»":
-                continue
-            if text[begin] in "»”":
-                continue
-            yield begin
+            if mark not in "»”":
+                starts.append(begin)
             continue
         # a full stop
-        left = _WORD_BEFORE.search(text, max(start, m.start() - 40), m.start())
-        word = stem_before(left[0]) if left else ""
-        if text[begin] in "»)]":
+        if mark in "»)]":
             continue
+        word = word or word_before(text, start, m.start())
         if word.isdigit() and bare(nxt) in MONTHS:
             continue
-        if judge.opens_small(bare(nxt)) and not judge.certain(word):
-            yield begin
-            continue
-        if judge.abbreviation(word):
-            if _goes_on(nxt) or _single(nxt) or not first.isupper() and not text[begin] in "“„«¿¡":
-                continue
-            if not judge.opens(bare(nxt)) and not text[begin] in "“„«¿¡\"":
-                continue
-        elif len(word) == 1 and word.isalpha() and (first.isdigit() or first.islower()):
-            continue
-        yield begin
+        if not word or word[-1].isdigit():
+            starts.append(begin)
+        else:
+            candidates.append(Candidate(begin, "stop", word, nxt, mark in "“„«¿¡\""))
+
+
+class Judge:
+    """Decisions for one document: its own unambiguous occurrences first, those of the corpus where it has none."""
+
+    def __init__(self, own: dict[str, tuple], corpus: dict[str, tuple]) -> None:
+        self.own, self.corpus = own, corpus
 
+    def disregard(self, candidates: list[Candidate]) -> None:
+        """A stop before a small word that opens sentences as it is doesn't show that the sentence goes on."""
+        for c in candidates:
+            if c.rule == "stop" and (row := self.own.get("a:" + c.word)) and row[1] and self.opens_small(bare(c.next_word)):
+                self.own["a:" + c.word] = (row[0], row[1] - 1, *row[2:])
 
-def _inside(text: str, start: int, at: int, after: int) -> bool:
-    """Whether a wide terminator stands inside an open quotation that does not close right behind it."""
-    for a, b in (("「", "」"), ("『", "』"), ("（", "）"), ("“", "”"), ("《", "》")):
-        piece = text[max(start, at - 200) : after]
-        if piece.count(a) > piece.count(b):
+    def stops(self, word: str) -> tuple[int, int, int]:
+        """How often a word stands before a stop, goes on behind it, and stands without one."""
+        total, clear, plain, _ = self.own.get("a:" + word, NONE)
+        if clear + plain >= 2:
+            return total, clear, plain
+        return self.corpus.get("a:" + word, (total, clear, plain))[:3]
+
+    def abbreviation(self, word: str) -> bool:
+        """Whether a word before a full stop is an abbreviation.
+
+        Occurrences that go on behind the stop speak for it, those without a stop against it; words longer than usual
+        for abbreviations need more of the former.
+        """
+        if not word or word[-1].isdigit():
+            return False
+        if _DOTTED.fullmatch(word):
             return True
-    return False
+        total, clear, plain = self.stops(word)
+        return clear > 0 and clear >= ABBREVIATION_RATE * (total + plain + max(0, 2 * (len(word) - 4)))
 
+    def certain(self, word: str) -> bool:
+        """An abbreviation that hardly ever ends a sentence."""
+        if len(word) == 1 and word.isupper():
+            return False
+        total, clear, plain = self.stops(word)
+        return bool(_DOTTED.fullmatch(word)) or (total > 0 and clear >= 0.8 * (total + plain))
 
-def needed_keys(text: str) -> set[str]:
+    def opens_small(self, word: str) -> bool:
+        """Whether a word in lower case, such as a program's name, is known to open sentences as it is."""
+        if not word[:1].islower():
+            return False
+        mine = self.own.get("s:" + word, NONE)[0]
+        total = self.corpus.get("s:" + word, (mine, 0, 0, 0))[0]
+        title = word[0].upper() + word[1:]
+        return total >= 2 and total > max(self.corpus.get("s:" + title, NONE)[0], self.own.get("s:" + title, NONE)[0])
+
+    def opens(self, word: str) -> bool:
+        """Whether a capitalised word opens a sentence here; a proper name's capital says nothing."""
+        clear, _, amid, small = self.own.get("s:" + word, NONE)
+        if clear or small:
+            return True
+        if amid and len(word) > 1:
+            return False
+        clear, after, _, _ = self.corpus.get("s:" + word, NONE)
+        return clear >= 2 or (clear > 0 and after > 0)
+
+    def accepts(self, c: Candidate) -> bool:
+        if c.rule == "glued":
+            return self.opens(c.next_word)
+        if c.rule == "closed":
+            return not self.abbreviation(c.word) and len(c.word) != 1
+        nxt = bare(c.next_word)
+        if self.opens_small(nxt) and not self.certain(c.word):
+            return True
+        first = c.next_word[0]
+        if self.abbreviation(c.word):
+            if _goes_on(c.next_word) or _single(c.next_word) or not (first.isupper() or c.opened):
+                return False
+            return c.opened or self.opens(nxt)
+        return not (len(c.word) == 1 and c.word.isalpha() and (first.isdigit() or first.islower()))
+
+
+NONE = (0, 0, 0, 0)
+
+
+def needed_keys(candidates: list[Candidate]) -> set[str]:
     """The words a document needs to know about."""
     need = set()
-    for start, end, whole in blocks(text):
-        if whole:
-            continue
-        for _, _, word, nxt, _ in stops(text, start, end):
-            if word:
-                need.add("a:" + word)
-            if b := bare(nxt):
-                need.update(("s:" + b, "s:" + b[0].upper() + b[1:]))
-        need.update("s:" + m[1] for m in _UNSPACED.finditer(text, start, end))
+    for c in candidates:
+        if c.word:
+            need.add("a:" + c.word)
+        if b := c.next_word if c.rule == "glued" else bare(c.next_word):
+            need.update(("s:" + b, "s:" + b[0].upper() + b[1:]))
     return need
 
 
-def document_counts(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, total, clear, needed): the evidence of each document, and what it needs to know about."""
+def unit_starts(analysis: Analysis, judge: Judge) -> list[int]:
+    """Positions, from 0, of the first character of each unit."""
+    judge.disregard(analysis.candidates)
+    return sorted({*analysis.starts, *(c.at for c in analysis.candidates if judge.accepts(c))})
+
+
+_ANALYSED = (
+    "doc_id bigint, text string, starts array<int>, candidates array<struct<at: int, rule: string, word: string, next_word: string, opened: boolean>>, "
+    "counts array<struct<key: string, n1: bigint, n2: bigint, n3: bigint, n4: bigint>>, need array<string>"
+)
+_COLUMNS = ["doc_id", "text", "starts", "candidates", "counts", "need"]
+
+
+def analysed(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """Each text read once: its sure starts, its candidates and what it counts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 if text:
-                    own, need = evidence(text), needed_keys(text)
-                    out.extend((doc_id, k, a, b, k in need) for k, (a, b) in own.items())
-                    out.extend((doc_id, k, 0, 0, True) for k in need if k not in own)
-            yield pd.DataFrame(out, columns=["doc_id", "key", "total", "clear", "needed"])
+                    a = analyse(text)
+                    out.append((doc_id, text if with_text else None, a.starts, [tuple(c) for c in a.candidates], [(k, *v) for k, v in a.counts.items()], list(needed_keys(a.candidates))))
+                if len(out) >= 500:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    out = []
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(work, "doc_id bigint, key string, total bigint, clear bigint, needed boolean")
+    return spread(documents.select("doc_id", "text")).mapInPandas(work, _ANALYSED)
 
 
-def with_counts(documents: DataFrame) -> DataFrame:
-    """Documents with the counts, their own and those of the corpus, of the words they need."""
-    rows = stored(document_counts(documents))
-    corpus = rows.groupBy("key").agg(F.sum("total").alias("n_all"), F.sum("clear").alias("n_clear"))
-    known = rows.where("needed").join(corpus.where("n_all > 0 or n_clear > 0"), "key")
-    wanted = known.groupBy("doc_id").agg(F.collect_set(F.struct("key", "total", "clear", "n_all", "n_clear")).alias("counts"))
-    return documents.select("doc_id", "text").where("text is not null").join(wanted, "doc_id", "left")
+def with_corpus(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """Analysed documents with the counts of the whole corpus for the words they need.
 
+    A word that nearly every document needs would put them all into one task, so each word's counts are laid out
+    ``SALTS`` times and a document asks for one of the copies.
+    """
+    rows = stored(analysed(documents, with_text))
+    counts = rows.select(F.explode("counts").alias("c")).groupBy("c.key").agg(*[F.sum(f"c.n{i}").alias(f"n{i}") for i in range(1, 5)])
+    copies = counts.where("n1 > 0 or n2 > 0 or n3 > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = rows.select("doc_id", F.explode("need").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    known = asked.join(copies.hint("merge"), ["key", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("key", "n1", "n2", "n3", "n4")).alias("corpus"))
+    return rows.drop("need").join(known, "doc_id", "left")
 
-def _judge(counts) -> Judge:
-    if counts is None:
-        return Judge({}, {})
-    return Judge({c["key"]: (c["total"], c["clear"]) for c in counts}, {c["key"]: (c["n_all"], c["n_clear"]) for c in counts})
+
+def _decide(starts, candidates, counts, corpus) -> list[int]:
+    table = lambda rows: {} if rows is None else {r["key"]: (r["n1"], r["n2"], r["n3"], r["n4"]) for r in rows}
+    found = [Candidate(c["at"], c["rule"], c["word"], c["next_word"], c["opened"]) for c in candidates]
+    return unit_starts(Analysis(list(starts), found, {}), Judge(table(counts), table(corpus)))
 
 
 def found_units(documents: DataFrame) -> DataFrame:
+    """(doc_id, start_at) of every unit."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, starts = [], []
-            for doc_id, text, counts in zip(batch["doc_id"], batch["text"], batch["counts"]):
-                found = unit_starts(text, _judge(counts))
+            for doc_id, *row in zip(*(batch[c] for c in ("doc_id", "starts", "candidates", "counts", "corpus"))):
+                found = _decide(*row)
                 starts.extend(x + 1 for x in found)
                 ids.extend([doc_id] * len(found))
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "start_at": pd.Series(starts, dtype="int32")})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "start_at": pd.Series(starts, dtype="int32")})
 
-    return with_counts(documents).mapInPandas(work, "doc_id bigint, start_at int")
+    return with_corpus(documents).drop("text").mapInPandas(work, "doc_id bigint, start_at int")
 
 
 def sentence_units(documents: DataFrame) -> DataFrame:
@@ -405,10 +499,10 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, counts in zip(batch["doc_id"], batch["text"], batch["counts"]):
-                found = unit_starts(text, _judge(counts))
+            for doc_id, text, *row in zip(*(batch[c] for c in ("doc_id", "text", "starts", "candidates", "counts", "corpus"))):
+                found = _decide(*row)
                 for n, (a, b) in enumerate(zip(found, [*found[1:], len(text)])):
                     out.append((doc_id, n, a + 1, text[a:b].rstrip()))
             yield pd.DataFrame(out, columns=["doc_id", "unit_no", "start_at", "unit"])
 
-    return with_counts(documents).mapInPandas(work, "doc_id bigint, unit_no int, start_at int, unit string")
+    return with_corpus(documents, with_text=True).mapInPandas(work, "doc_id bigint, unit_no int, start_at int, unit string")
