@@ -42,6 +42,7 @@ READ_LEGACY_AS = {
 READ_TWICE = (("latin-1", "latin-1"), ("cp1252", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "latin-1"))
 MULTIBYTE = {"utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"}
 FORM_SCHEMA = "form string, original string, chain string, wide boolean, n_original bigint, texts_original bigint"
+BROADCAST_UNITS = 200_000  # forms of single letters sent to all executors; more of them are joined by sorting
 PART_ROWS = 20_000  # rows a Python worker hands over at a time
 
 
@@ -235,7 +236,10 @@ def garbled_words(counts: DataFrame, matches: DataFrame) -> DataFrame:
     # a word enters the windows by its hash, so that long words are not copied into each of them
     open_words = counts.join(whole.select("word"), "word", "left_anti").where("length(word) >= 2").select("word", F.unhex(F.md5("word")).alias("id"))
     units = stored(unit_table(counts).select("form", "chain").distinct())
-    longest = units.agg(F.max(F.length("form"))).first()[0] or 1
+    longest, n_units = units.agg(F.max(F.length("form")), F.count("*")).first()
+    longest = longest or 1
+    # letters times chains: as many as the alphabets of the corpus give, so the size is checked
+    units = F.broadcast(units) if n_units <= BROADCAST_UNITS else units.hint("merge")
     windows = widened(open_words, "id").select(
         "id",
         F.length("word").alias("length"),
@@ -244,7 +248,7 @@ def garbled_words(counts: DataFrame, matches: DataFrame) -> DataFrame:
         )))).alias("x"),
     ).select("id", "length", "x.*").where(r"piece rlike '[^\\x00-\\x7f]'")
     covered = (
-        windows.join(units.hint("merge"), F.col("piece") == F.col("form"))
+        windows.join(units, F.col("piece") == F.col("form"))
         .groupBy("id", "length", "chain")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))).alias("covered"))
         .where("covered >= 6 and covered >= 0.7 * length or covered = length and chain like 'utf-8>%'")
