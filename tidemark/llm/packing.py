@@ -1,9 +1,10 @@
 """Documents packed into containers of fixed capacity with little unused space, by swap-based local search.
 
-Documents are spread over blocks of about ``BLOCK`` items; each block is filled best-fit first and then improved: from
-the emptiest bin on, documents move, change places one for one or two for one with documents of fuller bins whenever
-that raises the sum of squared fills, and bins that run empty go. What stands in poorly filled bins of all blocks is
-packed once more in blocks of the same size, so no task sees more than a bounded number of documents.
+Documents are spread over blocks of about ``BLOCK`` items, so no task sees more than a bounded number of them. Each
+block starts from a best-fit filling. Then, from the emptiest bin on, documents move, change places one for one, or two
+for one with documents of fuller bins, always by the exchange that fills the fuller bin most. Each step raises the sum
+of squared fills, so the search ends by itself where no step is left; bins that run empty go. What stands in poorly
+filled bins of all blocks is packed and searched once more in blocks of the same size.
 
 Defined results: a document longer than the capacity fills containers of its own with whole capacities, and its rest is
 an item like any other; documents of no token are in no container; every other document is in exactly one per capacity.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import stored
 
-BLOCK, POOR, PASSES = 4096, 0.97, 6
-_OUT = "pack_name string, capacity bigint, doc_id bigint, piece_no bigint, n_tokens bigint, bin bigint, bin_tokens bigint"
+BLOCK, POOR = 4096, 0.97  # items packed together, and the fill under which a bin is packed again
+_OUT = "pack_name string, capacity bigint, doc_id bigint, piece_no bigint, n_tokens bigint, block bigint, start_bin bigint, bin bigint, bin_tokens bigint"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -43,78 +44,101 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, passes: int = PASSES) -> np.ndarray:
-    """Local search over underfull bins; the sum of squared fills never falls."""
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Local search over underfull bins until no step is left; every step raises the sum of squared fills."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
-    for _ in range(passes):
-        changed = False
-        donors = [b for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]
-        for a in donors:
-            inside = np.flatnonzero(bins == a)
-            if not len(inside) or fill[a] == 0:
-                continue
-            for i in sorted(inside, key=lambda k: -sizes[k]):
-                if bins[i] != a:
-                    continue
-                s = sizes[i]
-                room = capacity - fill
-                # move: the fullest bin that is fuller than this one would be without it and has room
-                fits = np.flatnonzero((room >= s) & (fill > fill[a] - s) & (fill > 0))
-                fits = fits[fits != a]
-                if len(fits):
-                    b = fits[np.argmax(fill[fits])]
-                    if fill[b] + s > fill[a] or fill[b] >= fill[a]:
-                        bins[i] = b
-                        fill[a] -= s
-                        fill[b] += s
-                        changed = True
-                        continue
-                # one for one: a smaller document out of a fuller bin, as small as room allows
-                theirs = fill[bins]
-                ok = np.flatnonzero((sizes < s) & (sizes >= s - room[bins]) & (theirs >= fill[a]) & (bins != a))
-                if len(ok):
-                    j = ok[np.argmin(sizes[ok])]
-                    b, d = bins[j], s - sizes[j]
-                    bins[i], bins[j] = b, a
-                    fill[a] -= d
-                    fill[b] += d
-                    changed = True
-            inside = np.flatnonzero(bins == a)
-            if len(inside) >= 2:
-                order = inside[np.argsort(-sizes[inside], kind="stable")]
-                i, k = order[0], order[-1]
-                s = sizes[i] + sizes[k]
-                room = capacity - fill
-                ok = np.flatnonzero((sizes < s) & (sizes >= s - room[bins]) & (fill[bins] >= fill[a]) & (bins != a))
-                if len(ok):
-                    j = ok[np.argmin(sizes[ok])]
-                    b, d = bins[j], s - sizes[j]
-                    bins[i], bins[k], bins[j] = b, b, a
-                    fill[a] -= d
-                    fill[b] += d
-                    changed = True
-        if not changed:
-            break
+    inside: list[list[int]] = [[] for _ in fill]
+    for i, b in enumerate(bins.tolist()):
+        inside[b].append(i)
+    while any([_empty(a, sizes, bins, fill, inside, capacity) for a in np.argsort(fill, kind="stable").tolist() if 0 < fill[a] < capacity]):
+        pass
     return bins
 
 
-def pack_items(sizes: list[int], capacity: int) -> np.ndarray:
-    """Bins, numbered from 0 without gaps, of items in falling order of size."""
-    bins = improve(np.array(sizes, np.int64), np.array(best_fit(sizes, capacity), np.int64), capacity)
-    return np.unique(bins, return_inverse=True)[1]
+def _empty(a: int, sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, inside: list[list[int]], capacity: int) -> bool:
+    """Takes what it can out of one bin; whether anything changed."""
+
+    def put(i: int, b: int) -> None:
+        inside[bins[i]].remove(i)
+        inside[b].append(i)
+        fill[bins[i]] -= sizes[i]
+        fill[b] += sizes[i]
+        bins[i] = b
+
+    changed = False
+    while fill[a]:
+        own = np.array(sorted(inside[a], key=lambda i: (-sizes[i], i)))
+        # move a document: to the fullest bin that has room and will be fuller than this one is now
+        moved = False
+        for i in own.tolist():
+            fits = np.flatnonzero((fill <= capacity - sizes[i]) & (fill > fill[a] - sizes[i]) & (fill > 0))
+            fits = fits[fits != a]
+            if len(fits):
+                put(i, int(fits[np.argmax(fill[fits])]))
+                moved = changed = True
+                break
+        if moved:
+            continue
+        # give one or two documents for a smaller one of a bin at least as full, so that it gets as full as may be
+        theirs = np.flatnonzero((fill[bins] >= fill[a]) & (fill[bins] < capacity) & (bins != a))
+        if not len(theirs):
+            break
+        small, most = sizes[theirs], sizes[theirs] + capacity - fill[bins[theirs]]
+        step = _exchange(sizes[own], small, most) or _exchange_two(sizes[own], small, most)
+        if step is None:
+            break
+        given, j = step
+        back = int(theirs[j])
+        b = int(bins[back])
+        for k in given:
+            put(int(own[k]), b)
+        put(back, a)
+        changed = True
+    return changed
+
+
+def _exchange(own: np.ndarray, small: np.ndarray, most: np.ndarray) -> tuple[tuple[int], int] | None:
+    """The document to give, and which to take back, that move most; ``own`` falls."""
+    k = np.searchsorted(-own, -most)  # the largest of ours that fits in place of each of theirs
+    gain = np.where(k < len(own), own[np.minimum(k, len(own) - 1)] - small, 0)
+    j = int(np.argmax(gain))
+    return ((int(k[j]),), j) if gain[j] > 0 else None
+
+
+def _exchange_two(own: np.ndarray, small: np.ndarray, most: np.ndarray) -> tuple[tuple[int, int], int] | None:
+    """As ``_exchange`` over all pairs; documents of one size are as good as each other, so two of each size do."""
+    kept = np.flatnonzero(np.concatenate([np.ones(min(2, len(own)), bool), own[2:] != own[:-2]])) if len(own) else own
+    x, y = np.triu_indices(len(kept), 1)
+    if not len(x):
+        return None
+    sums = own[kept[x]] + own[kept[y]]
+    order = np.argsort(-sums, kind="stable")
+    found = _exchange(sums[order], small, most)
+    if found is None:
+        return None
+    (k,), j = found
+    return (int(kept[x[order[k]]]), int(kept[y[order[k]]])), j
+
+
+def pack_items(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins before and after the search, the latter numbered from 0 without gaps, of items in falling order of size."""
+    start = np.array(best_fit(sizes, capacity), np.int64)
+    return start, np.unique(improve(np.array(sizes, np.int64), start, capacity), return_inverse=True)[1]
 
 
 def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
-    capacity = int(block["capacity"].iloc[0])
-    bins = pack_items(block["n_tokens"].tolist(), capacity)
+    start, bins = pack_items(block["n_tokens"].tolist(), int(block["capacity"].iloc[0]))
     fills = np.bincount(bins, weights=block["n_tokens"])
-    return block.assign(bin=bins, bin_tokens=fills[bins].astype(np.int64))
+    return block.assign(start_bin=start, bin=bins, bin_tokens=fills[bins].astype(np.int64))
 
 
 def packed(sizes: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(pack_name, capacity, bin_id, doc_id, piece_no, n_tokens, bin_tokens) for ``sizes`` with doc_id and n_tokens."""
+    """(pack_name, capacity, bin_id, start_bin, doc_id, piece_no, n_tokens, bin_tokens) for ``sizes`` with doc_id and n_tokens.
+
+    ``start_bin`` is the container before the search.
+    """
     sizes = stored(sizes.where("n_tokens > 0").select("doc_id", "n_tokens"))
     kinds = packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().collect()  # a table of fixed size
     each = F.array(*[F.struct(F.lit(k[0]).alias("pack_name"), F.lit(k[1]).cast("bigint").alias("capacity")) for k in sorted(kinds, key=str)])
@@ -123,7 +147,8 @@ def packed(sizes: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
     items = items.withColumn("whole", F.floor(F.col("n_tokens") / F.col("capacity")))
     pieces = items.where("whole > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece_no"))
     full = pieces.select(
-        "pack_name", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("bin_id"), "doc_id", "piece_no",
+        "pack_name", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("bin_id"),
+        F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("start_bin"), "doc_id", "piece_no",
         F.col("capacity").alias("n_tokens"), F.col("capacity").alias("bin_tokens"),
     )
     rests = items.withColumn("rest", F.col("n_tokens") % F.col("capacity")).where("rest > 0").select("pack_name", "capacity", "doc_id", F.col("whole").alias("piece_no"), F.col("rest").alias("n_tokens"))
@@ -131,19 +156,28 @@ def packed(sizes: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def fill(rows: DataFrame, n: int, seed: int) -> DataFrame:
         part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).alias("block")
-        return rows.select("pack_name", "capacity", "doc_id", "piece_no", "n_tokens", part).groupBy("pack_name", "block").applyInPandas(_pack_block, _OUT.replace("bin bigint", "block bigint, bin bigint"))
+        return rows.select("pack_name", "capacity", "doc_id", "piece_no", "n_tokens", part).groupBy("pack_name", "block").applyInPandas(_pack_block, _OUT)
 
     first = stored(fill(rests, blocks, 1))
     poor = F.col("bin_tokens") < POOR * F.col("capacity")
     again = first.where(poor)
     most = again.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
     second = fill(again, max(1, math.ceil(most / block)), 2)
-    name = lambda r: F.concat_ws("-", F.lit(r), "block", "bin").alias("bin_id")
-    columns = ["pack_name", "capacity", "bin_id", "doc_id", "piece_no", "n_tokens", "bin_tokens"]
-    return full.select(*columns).unionByName(first.where(~poor).withColumn("bin_id", name("a")).select(*columns)).unionByName(second.withColumn("bin_id", name("b")).select(*columns))
+    columns = ["pack_name", "capacity", "bin_id", "start_bin", "doc_id", "piece_no", "n_tokens", "bin_tokens"]
+
+    def named(rows: DataFrame, letter: str) -> DataFrame:
+        name = lambda c: F.concat_ws("-", F.lit(letter), "block", c)
+        return rows.withColumn("bin_id", name("bin")).withColumn("start_bin", name("start_bin")).select(*columns)
+
+    return full.select(*columns).unionByName(named(first.where(~poor), "a")).unionByName(named(second, "b"))
 
 
 def packing_report(bins: DataFrame) -> DataFrame:
-    """Per capacity: containers, tokens, the least number of containers and the share of space used."""
-    per = bins.groupBy("pack_name", "capacity").agg(F.countDistinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("n_docs"))
-    return per.select("*", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("used"))
+    """Per capacity: containers before and after the search, the least number of containers, the share of space used."""
+    kind = ["pack_name", "capacity"]
+    now = bins.groupBy(*kind, "bin_id").agg(F.sum("n_tokens").alias("n"))
+    before = bins.groupBy(*kind, "start_bin").agg(F.sum("n_tokens").alias("n")).groupBy(*kind).agg(F.count("*").alias("start_bins"))
+    per = now.groupBy(*kind).agg(F.count("*").alias("n_bins"), F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("n")).alias("squared_fill"))
+    docs = bins.groupBy(*kind).agg(F.countDistinct("doc_id").alias("n_docs"))
+    least = F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins")
+    return per.join(before, kind).join(docs, kind).select(*kind, "n_docs", "tokens", "start_bins", "n_bins", least, "squared_fill", F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("used"))

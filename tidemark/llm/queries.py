@@ -19,6 +19,7 @@ QUERIES = {
     "p7_report": lambda s, d: packing.packing_report(packing.packed(document_sizes(t(s, d, "documents")), t(s, d, "pack_sizes"))),
     "p8_mix": lambda s, d: mixing.mixed(document_sizes(t(s, d, "documents")), t(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mixing.mix_shares(document_sizes(t(s, d, "documents")), t(s, d, "mix_targets")),
+    "p8_tempered": lambda s, d: mixing.tempered_weights(document_sizes(t(s, d, "documents")), t(s, d, "mix_targets")),
     "p9_found": lambda s, d: sentences.found_units(t(s, d, "documents")),
     "p9_units": lambda s, d: sentences.sentence_units(t(s, d, "documents")),
 }
