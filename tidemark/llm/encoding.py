@@ -41,7 +41,14 @@ READ_LEGACY_AS = {
 }
 READ_TWICE = (("latin-1", "latin-1"), ("cp1252", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "latin-1"))
 MULTIBYTE = {"utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"}
-FORM_SCHEMA = "form string, original string, chain string, wide boolean, n_original bigint, texts_original bigint"
+CHAINS = tuple(
+    dict.fromkeys(
+        [f"utf-8>{x}" for x in READ_UTF8_AS]
+        + [f"utf-8>{a}>utf-8>{b}" for a, b in READ_TWICE]
+        + [f"{right}>{x}" for right, wrong in READ_LEGACY_AS.items() for x in (*wrong, "utf-8")]
+    )
+)  # a form carries those that make it as a set of bits
+FORM_SCHEMA = "form string, original string, chains bigint, n_original bigint, texts_original bigint"
 BROADCAST_UNITS = 200_000  # forms of single letters sent to all executors; more of them are joined by sorting
 PART_ROWS = 20_000  # rows a Python worker hands over at a time
 
@@ -181,7 +188,8 @@ def text_words(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def form_table(counts: DataFrame) -> DataFrame:
     """Garbled forms of every distinct plausible word, and of the single characters of scripts without spaces."""
-    columns = ["form", "original", "chain", "wide", "n_original", "texts_original"]
+    columns = ["form", "original", "chains", "n_original", "texts_original"]
+    bit = {c: 1 << k for k, c in enumerate(CHAINS)}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,9 +197,12 @@ def form_table(counts: DataFrame) -> DataFrame:
             for word, n, n_texts in zip(batch["word"], batch["n"], batch["n_texts"]):
                 if not plausible(word):
                     continue
-                for (form, chain), wide in garbled_forms(word).items():
+                chains: dict[str, int] = {}
+                for form, chain in garbled_forms(word):
                     parts = [form] if form.isascii() or RUN.fullmatch(form) or WORD.fullmatch(form) else [p for p in RUN.findall(form) if len(p) > 1 or impossible(p)]
-                    out.extend((p, word, chain, wide, n, n_texts) for p in parts)
+                    for p in parts:
+                        chains[p] = chains.get(p, 0) | bit[chain]
+                out.extend((p, word, c, n, n_texts) for p, c in chains.items())
                 if len(out) > PART_ROWS:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -200,10 +211,17 @@ def form_table(counts: DataFrame) -> DataFrame:
     return widened(counts, "word").mapInPandas(work, FORM_SCHEMA)
 
 
+def by_chain(forms: DataFrame) -> DataFrame:
+    """One row per form, original and chain, and whether the chain makes several characters of one."""
+    wide = lambda c: c.split(">")[0] in MULTIBYTE or c.endswith(">utf-8")
+    names = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(wide(c)).alias("wide"), F.lit(1 << k).alias("bit")) for k, c in enumerate(CHAINS)])
+    return forms.withColumn("_c", F.explode(F.filter(names, lambda x: x["bit"].bitwiseAND(F.col("chains")) != 0))).select("*", "_c.chain", "_c.wide").drop("_c", "chains")
+
+
 def unit_table(counts: DataFrame) -> DataFrame:
     """Garbled forms of single characters, by chain, for words that match no form whole."""
     chars = counts.select(F.explode(F.split("word", "")).alias("word"), "n").where(r"word rlike '[^\\x00-\\x7f]'")
-    return form_table(chars.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n").alias("n_texts"))).where("wide and length(form) >= 2")
+    return by_chain(form_table(chars.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n").alias("n_texts"))).where("length(form) >= 2")).where("wide")
 
 
 def _times(k: int) -> Column:
@@ -225,7 +243,7 @@ def whole_matches(counts: DataFrame) -> DataFrame:
     Forms come out of Python in numbers the planner can't foresee, so they are hinted to a sort-merge join; the matches,
     few, are stored for the steps that read them.
     """
-    matches = counts.join(form_table(counts).hint("merge"), F.col("word") == F.col("form"))
+    matches = by_chain(counts.join(form_table(counts).hint("merge"), F.col("word") == F.col("form")))
     verified = _verified(F.col("form"), F.col("wide"))
     return stored(matches.select("word", "original", "chain", "wide", "n_original", verified.alias("verified"), _times(4).alias("frequent")))
 
