@@ -12,6 +12,7 @@ SEVERITIES = {
     "ERR": "error", "WRN": "warning", "DBG": "debug", "CRITICAL": "critical", "FATAL": "critical", "ERROR": "error",
     "WARN": "warning", "WARNING": "warning", "INFO": "info", "DEBUG": "debug", "TRACE": "debug",
 }
+# Order of levels.
 RANKS = {"debug": 0, "info": 1, "warning": 2, "error": 3, "critical": 4}
 
 

@@ -19,11 +19,12 @@ def is_blank(text: Column) -> Column:
     return text.rlike(f"^{SPACE}*$")
 
 
-def snippet(text: Column, term: str, around: int) -> Column:
+def snippet(text: Column, term: str | Column, around: int) -> Column:
     """The first hit whatever its case with ``around`` characters on both sides; the head of the text without one."""
-    at = F.locate(term.lower(), F.lower(text)) - 1
+    term = F.lit(term) if isinstance(term, str) else term
+    at = F.position(F.lower(term), F.lower(text)) - 1
     start = F.greatest(at - around, F.lit(0))
-    end = F.least(F.length(text), at + len(term) + around)
+    end = F.least(F.length(text), at + F.length(term) + around)
     cut = strip(F.substring(text, start + 1, end - start))
     marked = F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(end < F.length(text), "...").otherwise(""))
     return F.when(at < 0, F.substring(text, 1, 400)).otherwise(marked)

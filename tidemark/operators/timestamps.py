@@ -43,6 +43,18 @@ _FORMS = (
 _NUMBERS = ("Y", "M", "D", "h", "mi", "s", "e", "zh", "zm")
 
 
+def text_form(mask_form: str) -> str:
+    """The regular expression of texts whose mask matches a form, without named groups; quantifiers stay."""
+    parts = re.split(r"(\{[\d,]+\})", re.sub(r"\(\?P<\w+>", "(?:", mask_form))
+    return "".join(x if k % 2 else x.replace("9", r"\d").replace("a", "[A-Za-z]") for k, x in enumerate(parts))
+
+
+# Masks of stamps that may open a message: a date with time and perhaps a zone, a time of four parts, a month with day and time.
+OPENING_MASKS = (r"9999-99-99(?:a| )99:99:99(?:\.9{1,9})?(?:a|[+-]99:?99)?", r"99:99:99:999", r"a{3} +99? 99:99:99")
+FULL_STAMP = text_form(OPENING_MASKS[0])
+OPENING_STAMP = rf"^(?:{'|'.join(map(text_form, OPENING_MASKS))})\s*"
+
+
 def stamp_mask(stamp: Column) -> Column:
     """Character classes of a trimmed stamp."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -130,7 +142,9 @@ def resolve(stamps: np.ndarray, masks: np.ndarray, zones: np.ndarray, file_days:
             ref = refs[rows]
             year = np.where(np.isnan(ref), 0, ref).astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64) + 1970
             open_ = ok & ~np.isnan(ref)
-            for back in range(-1, 9):
+            for back in range(-1, 9):  # a date comes again within eight years, the 29th of February too
+                if not open_.any():
+                    break
                 days, exists = _days(year - back, month, number["D"])
                 which = np.flatnonzero(open_ & exists)
                 if not len(which):
@@ -209,8 +223,8 @@ def group_instants(groups: DataFrame, devices: DataFrame) -> DataFrame:
     Where events stand in an hour that occurs twice either reading is right, so every candidate instant up to the
     smallest later reading may be the earliest.
     """
-    slim = with_zone(groups.select("group_id", "file", "timestamp_start", "indexed_at", F.col("events.timestamp_raw").alias("stamps")), devices)
-    flat = spread(slim).select("group_id", "file", "_zone", "indexed_at", F.explode(F.array_distinct("stamps")).alias("stamp"))
+    slim = with_zone(spread(groups.select("group_id", "file", "timestamp_start", "indexed_at", F.col("events.timestamp_raw").alias("stamps"))), devices)
+    flat = slim.select("group_id", "file", "_zone", "indexed_at", F.explode(F.array_distinct("stamps")).alias("stamp"))
     read = flat.select(
         "group_id", utc_micros(F.col("stamp"), F.col("_zone"), file_date(F.col("file")), F.col("indexed_at")).alias("t")
     ).where("t.earliest is not null")

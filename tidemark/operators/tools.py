@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import snippet
 from tidemark.operators.vectors import top_k
 
 
@@ -55,14 +56,15 @@ def search_hex(chunks: DataFrame, pattern: str, k: int) -> DataFrame:
     for i, v in reversed(list(enumerate(hex_variants(pattern)))):
         variant = F.when(F.col("content").contains(v), i).otherwise(variant)
     found = chunks.withColumn("variant", variant).where("variant is not null").orderBy("project", "variant", "chunk_id").limit(k)
-    return found.select("chunk_id", "project", "variant", F.substring("content", 1, 200).alias("snippet"))
+    spelling = F.element_at(F.array(*map(F.lit, hex_variants(pattern))), F.col("variant") + 1)
+    return found.select("chunk_id", "project", "variant", snippet(F.col("content"), spelling, 200).alias("snippet"))
 
 
 def find_variable(chunks: DataFrame, name: str, k: int) -> DataFrame:
     """The first chunk of each file that has the name."""
     first = Window.partitionBy("project", "file_path").orderBy("chunk_index", "chunk_id")
     found = chunks.where(F.col("content").contains(name)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return found.orderBy("project", "file_path").limit(k).select("project", "file_path", "chunk_index", F.substring("content", 1, 150).alias("snippet"))
+    return found.orderBy("project", "file_path").limit(k).select("project", "file_path", "chunk_index", snippet(F.col("content"), name, 150).alias("snippet"))
 
 
 def compare_projects(hits: DataFrame, left: str, right: str, k: int) -> DataFrame:
