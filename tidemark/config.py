@@ -131,6 +131,13 @@ def clamp_k(k: int, most: int = 20) -> int:
     return max(1, min(most, k))
 
 
+def validate_severity(severity: str) -> str:
+    """One of the levels, whatever its case; raises ValueError otherwise."""
+    if severity.lower() not in ("debug", "info", "warning", "error", "critical"):
+        raise ValueError(f"unknown severity {severity}")
+    return severity.lower()
+
+
 def validate_query(query: str, most: int = 1000) -> str:
     if not query or not query.strip():
         raise ValueError("a query is required")

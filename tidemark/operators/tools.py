@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import clamp_k, validate_query, validate_severity
 from tidemark.functions.text import snippet
-from tidemark.operators.vectors import top_k
+from tidemark.operators.vectors import Embedder, Reranker, clamp, rerank_by, scored, top_k, top_k_per
+
+KINDS = ("header", "source", "documentation", "config")
 
 
 def filter_events(events: DataFrame, severity: str | None = None, device: str | None = None, event_type: str | None = None, since: str | None = None, until: str | None = None, code: str | None = None) -> DataFrame:
@@ -21,12 +24,68 @@ def filter_events(events: DataFrame, severity: str | None = None, device: str |
     return events if code is None else events.where(F.col("error_code").startswith(code))
 
 
-def search_logs(events: DataFrame, k: int, **conditions) -> DataFrame:
-    """The newest k events that fulfil all conditions."""
-    return filter_events(events, **conditions).orderBy(F.desc_nulls_last("timestamp_iso"), "event_id").limit(k)
+def time_range(groups: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Groups that lie within a range of ISO strings, both ends included."""
+    if since is not None:
+        groups = groups.where(F.col("timestamp_start") >= since)
+    return groups if until is None else groups.where(F.col("timestamp_end") <= until)
+
+
+def time_of_day(rows: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """Rows whose instant falls between two times of day, both included."""
+    return rows.where(F.date_format(column, "HH:mm:ss").between(first, last))
+
+
+def search_docs(
+    chunks: DataFrame, query: str, embedder: Embedder, k: int = 5, project: str | None = None, file_type: str | None = None,
+    reranker: Reranker | None = None, factor: int = 4, key: str = "chunk_id", text: str = "content",
+) -> DataFrame:
+    """The k chunks nearest to a query in words: the best of each project, then of all, reranked where a reranker is given.
+
+    Rows that carry an ``embedding`` keep it, the others are embedded. An unknown project or file type gives no rows.
+    """
+    query, k = validate_query(query), clamp_k(k)
+    rows = chunks.where(F.col(text).isNotNull())
+    if project is not None:
+        rows = rows.where(F.col("project") == project)
+    if file_type is not None:
+        rows = rows.where(F.col("file_type") == file_type)
+    if "embedding" not in rows.columns:
+        rows = rows.withColumn("embedding", embedder.documents(F.col(text)))
+    fetched = min(k * factor, 100) if reranker is not None else k
+    near = top_k_per(scored(rows, embedder.query(query)), fetched, "project", key)
+    pool = top_k(near.select(key, "project", "file_path", "file_type", text, "relevance"), fetched, key)
+    return rerank_by(pool, reranker, query, text, k, factor, key) if reranker is not None else pool
+
+
+def search_specs(chunks: DataFrame, query: str, embedder: Embedder, k: int = 5, **more) -> DataFrame:
+    return search_docs(chunks, query, embedder, k, file_type="documentation", **more)
+
+
+def search_logs(events: DataFrame, k: int, query: str | None = None, embedder: Embedder | None = None, text: str = "message", **conditions) -> DataFrame:
+    """Events that fulfil all conditions, with a score: the k nearest to a query in words, or without one the k newest."""
+    conditions = {name: v for name, v in conditions.items() if v}
+    if not (query and query.strip()) and not conditions:
+        raise ValueError("a query or a condition is required")
+    if "severity" in conditions:
+        validate_severity(conditions["severity"])
+    if len(conditions.get("code", "")) > 32:
+        raise ValueError("a code has at most 32 characters")
+    k, found = clamp_k(k, 50), filter_events(events, **conditions)
+    if not (query and query.strip()):
+        return found.withColumn("score", F.lit(1.0)).orderBy(F.desc_nulls_last("timestamp_iso"), "event_id").limit(k)
+    rows = found.where(F.col(text).isNotNull()).withColumn("embedding", embedder.documents(F.col(text)))
+    near = scored(rows, embedder.query(validate_query(query, 512)), digits=6).withColumn("relevance", clamp(F.col("relevance")))
+    return top_k(near, k, "event_id").withColumnRenamed("relevance", "score").drop("embedding")
 
 
 def list_files(chunks: DataFrame, project: str) -> DataFrame:
+    """Files of a project with the type of their first chunk, and their total, in order."""
+    per = _files_of(chunks, project)
+    return per.withColumn("n_files", F.lit(per.count())).orderBy("file_path")
+
+
+def _files_of(chunks: DataFrame, project: str) -> DataFrame:
     return chunks.where(F.col("project") == project).groupBy("file_path").agg(F.min_by("file_type", "chunk_index").alias("file_type"))
 
 
