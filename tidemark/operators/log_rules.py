@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import FilterRule, GroupRule, LogPattern, LogSettings, Transform
@@ -73,6 +73,42 @@ def attach_continuations(lines: DataFrame, most: int = 500) -> DataFrame:
     return per.select("file", F.col("owner").alias("line_no"), F.least("n", F.lit(most)).alias("continuation_count"))
 
 
+def continuation_lines(lines: DataFrame, most: int = 500) -> DataFrame:
+    """(file, line_no of the event, continuation_lines) over lines with ``pattern_name``, the first ``most`` of each event.
+
+    Blank lines are skipped, lines before the first event dropped; events without such lines have an empty array.
+    """
+    live = lines.where(F.col("pattern_name").isNotNull() | ~is_blank(F.coalesce("line", F.lit(""))))
+    owned = with_last(live.withColumn("_event", F.col("pattern_name").isNotNull()), "file", "line_no", "_event", "owner").where("owner is not null")
+    place = F.row_number().over(Window.partitionBy("file", "owner").orderBy("line_no"))
+    near = owned.select("file", "owner", "line_no", "line", "_event", place.alias("_n")).where(F.col("_n") <= most + 1)
+    per = near.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.when(~F.col("_event"), F.struct("line_no", "line")))).alias("c"))
+    return per.select("file", F.col("owner").alias("line_no"), F.col("c.line").alias("continuation_lines"))
+
+
+def full_text(message: Column, continuation: Column) -> Column:
+    """A message with its continuation lines below it, as transforms see it."""
+    below = F.when(F.size(continuation) > 0, F.concat(F.lit("\n"), F.array_join(continuation, "\n")))
+    return F.concat(F.coalesce(message, F.lit("")), F.coalesce(below, F.lit("")))
+
+
+def fallback_filter(lines: DataFrame, detect: str, rules: list[FilterRule], more: list[FilterRule], default: bool = True) -> DataFrame:
+    """Lines kept by the rules, and in files no line of which matches ``detect`` by the further rules as well."""
+    known = lines.groupBy("file").agg(F.max(F.coalesce(F.col("line"), F.lit("")).rlike(translate(detect).java)).alias("_known"))
+    line = F.coalesce(F.col("line"), F.lit(""))
+    kept = F.when(F.col("_known"), line_filter(line, rules, default)).otherwise(line_filter(line, [*rules, *more], default))
+    return lines.join(known, "file").where(kept).drop("_known")
+
+
+def parse_events(lines: DataFrame, patterns: list[LogPattern], settings: LogSettings = LogSettings(), rules: list[FilterRule] = (), levels: dict[str, str] | None = None) -> DataFrame:
+    """Lines to events: filtered, matched, their fields extracted, continuation lines attached, level normalised."""
+    kept = lines.where(line_filter(F.coalesce("line", F.lit("")), list(rules))) if rules else lines
+    matched = extract_fields(kept, patterns)
+    with_lines = continuation_lines(matched, settings.max_continuation_lines)
+    events = matched.where("pattern_name is not null").join(with_lines, ["file", "line_no"])
+    return events.withColumn("severity", severity(F.col("severity_raw"), levels)).drop("line")
+
+
 def normalized_stamp(raw: Column, file: Column, now: Column) -> Column:
     """Instant of a stamp at second precision; stamps without zone are UTC, unreadable ones take ``now``."""
     micros = utc_micros(raw, None, file_date(file), now)["earliest"]
@@ -176,6 +212,63 @@ def group_events(events: DataFrame, rules: list[GroupRule], settings: LogSetting
     return slim.mapInPandas(fold, "file string, line_start int, line_end int, rule string, n_events int")
 
 
+def with_groups(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """Events with ``line_start`` of the group that each belongs to; groups are consecutive stretches of a file."""
+    starts = groups.select("file", F.col("line_start").cast("int").alias("line_no"), F.lit(True).alias("_start"))
+    return with_last(events.join(starts, ["file", "line_no"], "left").withColumn("_start", F.coalesce("_start", F.lit(False))), "file", "line_no", "_start", "line_start").drop("_start")
+
+
+def group_rows(events: DataFrame) -> DataFrame:
+    """One row per (file, line_start) of events with line_no, message, n, continuation_lines, timestamp_iso, severity,
+    device_id, error_code and event_type.
+
+    The worst level counts, the first of equals; code and device are the first that are not empty; the type is that of
+    the first event; a repeated message shows its count; ``line_end`` takes in the continuation lines of the last event.
+    """
+    filled = lambda c: F.min_by(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("line_no")))
+    size = F.greatest(F.lit(0), F.coalesce(F.size("continuation_lines"), F.lit(0)))
+    message = F.coalesce("message", F.lit(""))
+    per = events.groupBy("file", "line_start").agg(
+        F.max_by(F.col("line_no") + size, "line_no").alias("line_end"),
+        F.min("timestamp_iso").alias("timestamp_start"),
+        F.max("timestamp_iso").alias("timestamp_end"),
+        F.max_by("severity", F.struct(rank(F.col("severity")), -F.col("line_no"))).alias("severity"),
+        F.coalesce(filled("device_id"), F.lit("")).alias("device_id"),
+        F.coalesce(filled("error_code"), F.lit("")).alias("error_code"),
+        F.min_by("event_type", "line_no").alias("event_type"),
+        F.array_sort(F.collect_list(F.struct("line_no", message.alias("message"), "n", F.coalesce("continuation_lines", F.array().cast("array<string>")).alias("below")))).alias("_e"),
+    )
+    repeated = F.filter("_e", lambda e: e["n"] > 1)
+    counts = F.map_from_entries(F.transform(F.array_distinct(F.transform(repeated, lambda e: e["message"])), lambda m: F.struct(m, F.element_at(F.filter(repeated, lambda e: e["message"] == m), -1)["n"].cast("int"))))
+    said = F.transform("_e", lambda e: full_text(F.concat(e["message"], F.coalesce(F.concat(F.lit(" [repeated "), F.try_element_at(F.col("dedup_counts"), e["message"]).cast("string"), F.lit("x]")), F.lit(""))), e["below"]))
+    return per.withColumn("dedup_counts", counts).withColumn("text", F.array_join(said, "\n")).withColumn("n_events", F.size("_e")).drop("_e")
+
+
+def index_log_lines(
+    lines: DataFrame, patterns: list[LogPattern], settings: LogSettings = LogSettings(), filters: list[FilterRule] = (), transforms: list[Transform] = (),
+    groups: list[GroupRule] = (), levels: dict[str, str] | None = None, since: str | None = None, until: str | None = None,
+) -> DataFrame:
+    """Raw lines (file, line_no, line) to one row per group with its ``id``, ready to be upserted by it.
+
+    ``since`` and ``until`` bound the time of day. Lines become events, events are transformed with their continuation
+    lines, runs of the same message become one, and rules group what is left.
+    """
+    events = parse_events(lines, patterns, settings, filters, levels)
+    stamp = utc_micros(F.col("timestamp_raw"), None, file_date(F.col("file")))["earliest"]
+    events = events.withColumn("_us", stamp).withColumn("timestamp_iso", F.date_format(F.timestamp_micros("_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    time = F.substring("timestamp_iso", 12, 12)
+    if since is not None:
+        events = events.where(time >= since)
+    if until is not None:
+        events = events.where(time <= until)
+    text = apply_chain(full_text(F.col("message"), F.col("continuation_lines")), list(transforms))
+    ready = events.withColumn("message", text).withColumn("continuation_lines", F.array().cast("array<string>"))
+    once = deduplicated(ready, settings.dedup_threshold)
+    joined = once.withColumn("text", F.concat_ws("|", "pattern_name", F.coalesce("command_name", F.lit("")), "event_type", "message")).withColumn("second", F.floor(F.col("_us") / 1_000) / 1_000)
+    rows = group_rows(with_groups(joined, group_events(joined.select("file", "line_no", "second", "text"), list(groups), settings)))
+    return rows.withColumn("id", F.concat(F.col("file"), F.lit("::line_"), F.col("line_start").cast("string")))
+
+
 def group_aggregates(groups: DataFrame) -> DataFrame:
     """Line span, worst level (the first of equals), first level and messages of the events of each group."""
     events = groups.where("events is not null").select("group_id", F.posexplode("events").alias("at", "e"))
