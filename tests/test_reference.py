@@ -183,17 +183,62 @@ def test_glob(pattern, path):
 
 
 def test_tail_stream(spark, tmp_path):
-    from tidemark.streaming.log_tail import follow, into_table
+    import shutil
+
+    from tidemark.streaming.log_tail import current_lines, follow, into_table, write_batch
 
     logs, out, cp = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "cp")
     logs.mkdir()
+    a = logs / "a.log"
 
     def step():
-        into_table(follow(spark, str(logs)), out, cp).awaitTermination(120)
-        return sorted((r["file"], r["line_no"], r["line"]) for r in spark.read.parquet(out).collect())
+        # each step is a restart: another reader, the same checkpoint
+        into_table(follow(spark, str(logs), stretchBytes="7"), out, cp).awaitTermination(120)
+        return sorted((r["file"], r["line_no"], r["line"]) for r in current_lines(spark, out).collect())
+
+    def want(*lines):
+        return [("a.log", i + 1, x) for i, x in enumerate(lines)]
 
-    (logs / "a.log").write_text("one\ntwo\npart")
-    assert step() == [("a.log", 1, "one"), ("a.log", 2, "two")]
-    with (logs / "a.log").open("a") as f:
+    a.write_text("one\ntwo is a longer line\npart")
+    assert step() == want("one", "two is a longer line")
+    with a.open("a") as f:
         f.write("ial\nlast\n")
-    assert step() == [("a.log", 1, "one"), ("a.log", 2, "two"), ("a.log", 3, "partial"), ("a.log", 4, "last")]
+    assert step() == want("one", "two is a longer line", "partial", "last")
+    # replaced by a shorter file while the stream is down
+    a.write_text("new\n")
+    assert step() == want("new")
+    with a.open("a") as f:
+        f.write("more\n")
+    assert step() == want("new", "more")
+    # rotated: another file under the name, longer than the one before
+    a.rename(logs / "a.log.1")
+    a.write_text("".join(f"line {i}\n" for i in range(9)))
+    assert step() == want(*(f"line {i}" for i in range(9)))
+    assert step() == want(*(f"line {i}" for i in range(9)))
+    # emptied, then written again
+    a.write_text("")
+    assert step() == []
+    a.write_text("x\n")
+    assert step() == want("x")
+    # a batch that runs again writes what it wrote before
+    rows = spark.createDataFrame([("b.log", 0, "p", 0, False), ("b.log", 2, "q", 0, False), ("b.log", 4, "r", 4, False)], "file string, byte_offset bigint, line string, stretch bigint, replaced boolean")
+    for _ in range(2):
+        write_batch(rows, 99, out)
+    got = sorted((r["line_no"], r["line"]) for r in current_lines(spark, out).where("file = 'b.log'").collect())
+    assert got == [(1, "p"), (2, "q"), (3, "r")]
+    shutil.rmtree(out)
+
+
+def test_tail_bounds(tmp_path):
+    """A bounded batch takes so many bytes of each file; what is left comes next, and lines are whole."""
+    from tidemark.sources.tail import TailReader
+
+    (tmp_path / "a.log").write_text("".join(f"{i:04d}\n" for i in range(100)))
+    reader = TailReader({"path": str(tmp_path), "maxBytesPerFile": "123", "stretchBytes": "50"})
+    at, lines = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != at:
+        for part in reader.partitions(at, end):
+            assert part.stop - part.start <= 50
+            lines += [r[2] for r in reader.read(part)]
+        at = end
+    assert lines == [f"{i:04d}" for i in range(100)]
