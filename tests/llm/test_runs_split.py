@@ -66,29 +66,38 @@ def test_collapsed(spark):
 ITEMS = "item_id bigint, content string, size int, overlap int, separators array<string>"
 
 
-@pytest.mark.parametrize("span", [16, 50, 65_536])
+def whole_cuts(text, size, overlap, separators):
+    """The cuts of an item seen whole."""
+    cutter = split.Cutter(size, overlap)
+    cutter.add(0, [split.boundaries(text, s) for s in separators or [] if s], len(text), False)
+    rows = cutter.end()
+    return [tuple(rows[5 * k : 5 * k + 3]) for k in range(len(rows) // 5)]
+
+
+@pytest.mark.parametrize("span", [3, 16, 50, 1 << 20])
 def test_pieces(spark, span):
-    rng = random.Random(span)
+    rng = random.Random(1)
     rows = []
     for i in range(60):
         text = "".join(rng.choice(["word ", "x", ". ", "\n", "\n\n", "\n## ", "é", "😀"]) for _ in range(rng.randint(1, 150)))
         size = rng.randint(5, 15)
         rows.append((i, text, size, rng.randint(0, size - 1), ["\n## ", "\n\n", "\n", ". ", " "]))
     rows += [(100, None, 5, 0, []), (101, "  \n", 1, 0, [" "]), (102, "", 5, 0, None), (103, "abcdefghij", 4, 1, []), (104, "abc", 3, 1, ["b"])]
-    items = spark.createDataFrame([(*r, "clash") for r in rows], ITEMS + ", blank string")
-    items = items.fillna({"size": 5})
+    items = spark.createDataFrame([(*r, "clash") for r in [*rows, rows[0]]], ITEMS + ", blank string")
     by = {}
     for r in split.pieces(items, span).orderBy("item_id", "piece_no").collect():
         by.setdefault(r["item_id"], []).append(r)
-    for i, text, size, _, _ in rows:
+    for i, text, size, overlap, separators in rows:
         if not text or text.isspace():
             assert i not in by
             continue
         got = by[i]
-        assert [p["piece_no"] for p in got] == list(range(len(got)))
+        assert [p["piece_no"] for p in got] == list(range(len(got))) and {p["total_pieces"] for p in got} == {len(got)}
         assert all(len(p["content"]) <= size and p["content"] == text[p["start"] : p["stop"]] for p in got)
         assert "".join(p["content"][p["overlap"] :] for p in got) == text
-        if len(text) <= min(size, span):
+        # the length of ranges changes no cut
+        assert [(p["start"], p["start"] + p["overlap"], p["stop"]) for p in got] == whole_cuts(text, size, overlap, separators)
+        if len(text) <= size:
             assert len(got) == 1
     want = {i for i, text, size, _, _ in rows if text and not text.isspace() and len(text) > size}
     assert {r["item_id"] for r in split.oversized(items, span).collect()} == want
@@ -96,8 +105,7 @@ def test_pieces(spark, span):
 
 def test_natural_boundary():
     text = "aaaa bbbb\ncccc dddd"
-    tables = [split.boundaries(text, s) for s in ("\n", " ")]
-    assert [text[a:c] for a, _, c in split.cut(text, tables, 0, len(text), 12, 0)] == ["aaaa bbbb\n", "cccc dddd"]
+    assert [text[a:c] for a, _, c in whole_cuts(text, 12, 0, ["\n", " "])] == ["aaaa bbbb\n", "cccc dddd"]
 
 
 def test_settings(spark):
@@ -120,14 +128,15 @@ def test_file_by_byte_ranges(spark, tmp_path):
         rows.append((path.as_uri(), path.stat().st_size))
     (tmp_path / "empty").write_bytes(b"")
     files = spark.createDataFrame([*rows, ((tmp_path / "empty").as_uri(), 0)], "path string, n_bytes bigint")
-    for span in (64, 257, 1 << 20):
+    for span in (7, 64, 257, 1 << 20):
         by = {}
         for r in split.file_pieces(files, 20, 6, ["\n\n", "\n", ". ", " "], span).orderBy("path", "piece_no").collect():
             by.setdefault(r["path"], []).append(r)
-        assert set(by) == {p for p, t in texts.items() if t}
+        assert set(by) == {p for p, t in texts.items() if t.strip()}
         for path, got in by.items():
             text, data = texts[path], texts[path].encode()
             assert [p["piece_no"] for p in got] == list(range(len(got)))
             assert "".join(p["content"][p["overlap"] :] for p in got) == text
             assert all(len(p["content"]) <= 20 for p in got)
-            assert all(text[p["start"] : p["start"] + p["chars"]] == p["content"][p["overlap"] :] == data[p["byte_start"] : p["byte_stop"]].decode() for p in got)
+            assert all(text[p["start"] : p["stop"]] == p["content"] and p["content"][p["overlap"] :] == data[p["byte_start"] : p["byte_stop"]].decode() for p in got)
+            assert [(p["start"], p["start"] + p["overlap"], p["stop"]) for p in got] == whole_cuts(text, 20, 6, ["\n\n", "\n", ". ", " "])
