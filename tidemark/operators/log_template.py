@@ -277,11 +277,11 @@ def _grow_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def lexed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Each line once, lexed, held together by (file, block): the one shuffle that all later steps on lines share."""
+def lexed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, with_line: bool = True) -> DataFrame:
+    """Each line once, lexed, held together by (file, block)."""
     slim = lines.select("file", "line_no", "line").withColumn("_block", F.floor(F.col("line_no") / block_lines)).repartition("file", "_block")
     once = slim.groupBy("file", "_block", "line_no").agg(F.max("line").alias("line"))
-    return once.withColumn("lex", _lex_udf(F.coalesce("line", F.lit("")))).select("file", "_block", "line_no", "line", "lex.*")
+    return once.withColumn("lex", _lex_udf(F.coalesce("line", F.lit("")))).select("file", "_block", "line_no", *(["line"] if with_line else []), "lex.*")
 
 
 def template_roles(lexed: DataFrame) -> DataFrame:
@@ -306,19 +306,22 @@ def _level(raw: Column) -> Column:
     )
 
 
-def parsed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Per line its role and fields, before lines are joined to entries."""
-    lexed = stored(lexed_lines(lines, block_lines))
+def parsed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, full: bool = True) -> DataFrame:
+    """Per line its role and fields, before lines are joined to entries; line, template and message only in ``full``."""
+    lexed = stored(lexed_lines(lines, block_lines, full))
     roles = template_roles(lexed)
+    # blank lines have no mask; so that they do not meet in one task, each takes one of many names that no mask has
+    lexed = lexed.withColumn("mask", F.when(F.col("blank"), F.concat(F.lit(" "), (F.col("line_no") % 256).cast("string"))).otherwise(F.col("mask")))
     field = lambda at: F.when(F.col(at).isNotNull(), F.try_element_at(F.col("tokens"), F.col(at) + 1))
     joined = lexed.join(roles, "mask", "left")
+    more = [] if not full else ["line", "template", F.array_join(F.slice("tokens", F.coalesce(F.col("message_at"), F.lit(0)) + 1, F.size("tokens")), " ").alias("message_tokens")]
     return joined.select(
-        "file", "_block", "line_no", "line", "blank", "labelled", "template",
+        "file", "_block", "line_no", "blank", "labelled",
         F.coalesce(F.when(~F.col("blank"), F.col("kind")), F.lit("text")).alias("kind"),
         field("ts_at").alias("ts_raw"),
         field("level_at").alias("level_raw"),
         F.regexp_replace(field("component_at"), '^"|"$', "").alias("component"),
-        F.array_join(F.slice("tokens", F.coalesce(F.col("message_at"), F.lit(0)) + 1, F.size("tokens")), " ").alias("message_tokens"),
+        *more,
     )
 
 
@@ -351,19 +354,21 @@ def owned_lines(once: DataFrame) -> DataFrame:
     return marked.join(carried, ["file", "_block"]).withColumn("line_start", start)
 
 
-def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """One row per entry: file, line_start, line_end, timestamp_raw, severity_raw, severity, component, message, lines."""
-    owned = owned_lines(parsed_lines(lines, block_lines)).where("line_start is not null")
+def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, full: bool = True) -> DataFrame:
+    """One row per entry: file, line_start, line_end, timestamp_raw, severity_raw, severity, component, message, template
+    and the number of continuation lines; message and template only in ``full``."""
+    owned = owned_lines(parsed_lines(lines, block_lines, full)).where("line_start is not null")
     own = F.col("line_no") == F.col("line_start")
-    member = lambda kind: F.min(F.when(F.col("kind") == f"member_{kind}", F.struct("line_no", "level_raw", "ts_raw", "component", "message_tokens")))
+    words = ["message_tokens"] if full else []
+    member = lambda kind: F.min(F.when(F.col("kind") == f"member_{kind}", F.struct("line_no", "level_raw", "ts_raw", "component", *words)))
     per = owned.groupBy("file", "line_start").agg(
         F.max(F.when(~F.col("blank"), F.col("line_no"))).alias("line_end"),
         F.count_if(~F.col("blank") & ~own).alias("continuation_count"),
-        F.max(F.when(own, F.struct("kind", "ts_raw", "level_raw", "component", "message_tokens", "template"))).alias("h"),
+        F.max(F.when(own, F.struct("kind", "ts_raw", "level_raw", "component", *words, *(["template"] if full else [])))).alias("h"),
         member("level").alias("ml"),
         member("component").alias("mc"),
         member("ts").alias("mt"),
-        member("message").alias("mm"),
+        *([member("message").alias("mm")] if full else []),
     )
     is_open = F.col("h.kind") == "open"
     level = F.when(is_open, F.col("ml.level_raw")).otherwise(F.col("h.level_raw"))
@@ -376,14 +381,13 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         bare(level).alias("severity_raw"),
         _level(F.coalesce(level, F.lit(""))).alias("severity"),
         F.coalesce(F.when(is_open, F.col("mc.component")).otherwise(F.col("h.component")), F.lit("")).alias("component"),
-        F.when(is_open, F.col("mm.message_tokens")).otherwise(F.col("h.message_tokens")).alias("message"),
-        F.col("h.template").alias("template"),
+        *([F.when(is_open, F.col("mm.message_tokens")).otherwise(F.col("h.message_tokens")).alias("message"), F.col("h.template").alias("template")] if full else []),
         "continuation_count",
     )
 
 
 def found_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    return log_entries(lines, block_lines).select("file", "line_start", "line_end", "severity", "component")
+    return log_entries(lines, block_lines, full=False).select("file", "line_start", "line_end", "severity", "component")
 
 
 def continuation_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, segment: int = 1000) -> DataFrame:
