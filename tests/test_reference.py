@@ -160,6 +160,58 @@ def test_catalog(spark):
     assert catalog.match_removed(paths, "p", "a/x.c").count() == 1 and catalog.match_removed(paths, "p", "x.c").count() == 2 and catalog.match_removed(paths, "p", "q").count() == 0
 
 
+def test_project_verbs(spark, tmp_path):
+    from tidemark.operators import projects as pj
+
+    base = tmp_path / "base"
+    (base / "doc").mkdir(parents=True)
+    (base / "bin").mkdir()
+    for name, text in (("doc/a.md", "alpha " * 400), ("doc/b.md", "beta"), ("bin/c.md", "no"), ("main.c", "int x;")):
+        (base / name).write_text(text)
+    config = pj.add_project(cf.Config(), "p", str(base))
+    for bad in (lambda: pj.add_project(config, "p", str(base)), lambda: pj.add_project(config, "q", str(base / "none")), lambda: pj.add_pattern(config, "p", "../x")):
+        with pytest.raises(ValueError):
+            bad()
+    config = pj.add_pattern(pj.add_pattern(config, "p", "**/*.md"), "p", "**/*.md")
+    assert [s.pattern for s in pj.project(config, "p").sources] == ["**/*.md"]
+    empty = spark.createDataFrame([], "row_key string, project string, file_path string, file_type string, chunk_index int, total_chunks int, content string, file_hash string")
+    keys = lambda df: sorted(r["row_key"] for r in df.collect())
+    index = spark.createDataFrame(pj.index_project(spark, config, empty, "p").collect(), empty.schema)
+    assert {k.split("::")[0] for k in keys(index)} == {"doc/a.md", "doc/b.md"} and len(keys(index)) >= 4
+    (base / "doc" / "a.md").write_text("short")
+    (base / "doc" / "b.md").unlink()
+    index = spark.createDataFrame(pj.index_project(spark, config, index, "p").collect(), empty.schema)
+    assert keys(index) == ["doc/a.md::chunk_0"] and index.first()["content"] == "short"
+    one = pj.index_files(index, pj.read_pattern(spark, config, "p", "main.c"), config)
+    assert keys(one) == ["doc/a.md::chunk_0", "main.c::chunk_0"] and {r["file_type"] for r in one.collect()} == {"documentation", "source"}
+    assert pj.clear_project(one, "p").count() == 0 and pj.clear_project(one, "q").count() == 2
+    gone = pj.remove_project(config, "p")
+    with pytest.raises(KeyError):
+        pj.project(gone, "p")
+    back = pj.add_project(gone, "p", str(base))
+    assert pj.project(back, "p").sources == pj.project(config, "p").sources
+    assert pj.drop_project(config, one, "p")[0].projects == ()
+
+
+def test_rerank_falls_back(spark):
+    class Broken:
+        def score(self, query, texts):
+            raise RuntimeError("no model")
+
+    df = spark.createDataFrame([(1, "p", "a", "doc", "heater fan"), (2, "p", "b", "doc", "fan"), (3, "q", "c", "doc", None)], "chunk_id int, project string, file_path string, file_type string, content string")
+    from tidemark.operators import tools
+
+    plain = [r["chunk_id"] for r in tools.search_docs(df, "heater", vectors.HashEmbedder(), 2).collect()]
+    assert [r["chunk_id"] for r in tools.search_docs(df, "heater", vectors.HashEmbedder(), 2, reranker=Broken()).collect()] == plain == [1, 2]
+    best = tools.search_docs(df, "fan", vectors.HashEmbedder(), 1, reranker=vectors.WordScorer()).first()
+    assert best["relevance"] == 1.0
+    asked = vectors.HashEmbedder(instruction="find:")
+    assert asked.query("fan") != vectors.HashEmbedder().query("fan") == df.where("chunk_id = 2").select(asked.documents(F.col("content"))).first()[0]
+    for bad in (lambda: tools.search_docs(df, " ", asked), lambda: tools.search_logs(df, 5), lambda: tools.search_logs(df, 5, severity="loud"), lambda: tools.search_logs(df, 5, code="x" * 33)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_grouping_rules_fold(spark):
     rows = [("f", 1, 0.0, "start a"), ("f", 2, 1.0, "go"), ("f", 3, 2.0, "go"), ("f", 4, 100.0, "go"), ("f", 5, 101.0, "other"), ("f", 6, 102.0, "start b"), ("f", 7, None, "go")]
     events = spark.createDataFrame(rows, "file string, line_no int, second double, text string")

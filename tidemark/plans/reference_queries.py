@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import FilterRule, GroupRule, LogPattern, Transform
 from tidemark.functions import text as tx
 from tidemark.functions.levels import SEVERITIES, severity
-from tidemark.operators import catalog, chunking, log_rules, tools, vectors
+from tidemark.operators import catalog, chunking, log_rules, projects, tools, vectors
 from tidemark.operators.timestamps import FULL_STAMP, OPENING_STAMP, file_date, utc_micros
 from tidemark.session import table as t
 from tidemark.sources import files as fs
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 EXCLUDED = ["node_modules", "venv", "bin", "archive"]
-SIZE_LIMIT = 4000
+SIZE_LIMIT = 60_000
 # Levels as they may be printed, the longer before those they begin with.
 _PRINTED = "|".join(sorted(SEVERITIES, key=lambda x: (-len(x), x)))
 _DEVICE = r"([A-Z]{3,5}):(\d{2}:\d{2}:\d{2}:\d{3})\|([^|]+)\|(.*?)(?: code=([0-9a-f]+))?$"
@@ -87,9 +87,10 @@ def scan_excluded_dirs(s, d):
     return t(s, d, "files").where(~tx.excluded(F.col("relative_path"), EXCLUDED)).select("file_id", "relative_path")
 
 
-@query(f"select file_id, n_bytes from files where not (file_type = 'documentation' and n_bytes > {SIZE_LIMIT})")
+@query(rf"with f as (select file, 'log' as file_type, sum(octet_length(encode(line)) + 1) as n_bytes from {_LINES_SQL} where line is not null group by file) select file, n_bytes from f where n_bytes <= {SIZE_LIMIT}")
 def scan_size_limit(s, d):
-    return t(s, d, "files").where(~((F.col("file_type") == "documentation") & (F.col("n_bytes") > SIZE_LIMIT))).select("file_id", "n_bytes")
+    listing = _lines(s, d).where("line is not null").groupBy("file").agg(F.sum(F.octet_length("line") + 1).alias("n_bytes")).withColumn("file_type", F.lit("log"))
+    return projects.without_large_logs(listing, SIZE_LIMIT).select("file", "n_bytes")
 
 
 @query(r"""
@@ -182,9 +183,15 @@ def detect_stacks(s, d):
     with r as (select distinct project, string_split(relative_path, '/')[1] as root from files where relative_path like '%/%')
     select project, root from r where root not like '.%' and root not like 'arch%' and project not in (select project from chunking_config where project is not null)""")
 def discover_roots(s, d):
-    roots = t(s, d, "files").where(F.col("relative_path").contains("/")).select("project", F.substring_index("relative_path", "/", 1).alias("root")).distinct()
-    curated = t(s, d, "chunking_config").where("project is not null").select("project")
-    return roots.where(~F.col("root").startswith(".") & ~F.col("root").startswith("arch") & F.col("project").isNotNull()).join(curated, "project", "left_anti")
+    return projects.discover_roots(t(s, d, "files"), t(s, d, "chunking_config"))
+
+
+@query(r"""
+    with r as (select distinct project, string_split(relative_path, '/')[1] as root from files where relative_path like '%/%'),
+         k as (select project, root, row_number() over (order by project, root) as n from r where root not like '.%' and root not like 'arch%' and project is not null)
+    select project, root from k where n in (1, 3)""")
+def discover_chosen_roots(s, d):
+    return projects.discover_roots(t(s, d, "files"), t(s, d, "chunking_config").where("false"), chosen="1,3")
 
 
 @query(f"select file, line_no, octet_length(encode(line)) as n_bytes from {_LINES_SQL} where line is not null")
@@ -246,6 +253,11 @@ def project_soft_delete(s, d):
     return t(s, d, "chunks").groupBy("project").agg(F.count_if(F.col("content").isNotNull()).alias("n_rows")).withColumn("removed", F.col("project").isin("lodewerk", "tarnhub"))
 
 
+@query("select chunk_id from chunks where project is distinct from 'lodewerk'")
+def project_clear(s, d):
+    return projects.clear_project(t(s, d, "chunks"), "lodewerk").select("chunk_id")
+
+
 @query("select chunk_id from chunks where contains(file_path, 'navd_00') and not exists (select 1 from chunks where file_path = 'navd_00')")
 def remove_file_match(s, d):
     return catalog.match_removed(t(s, d, "chunks").select("chunk_id", "file_path"), "file_path", "navd_00").select("chunk_id")
@@ -582,6 +594,14 @@ def chunk_documents(s, d):
     return made.select("doc_id", "chunk_index", F.md5("content").alias("content_hash"), "total_chunks")
 
 
+@query(f"""{_OVER_SQL}, everything as (select doc_id, chunk_index::int as chunk_index, content from whole
+      union all select doc_id, 0, text from documents where length(text) <= 1000 and regexp_matches(text, '[^ \\n\\t]'))
+    select doc_id || '.md::chunk_' || chunk_index as row_key, md5(content) as content_hash, 'documentation' as file_type from everything""")
+def index_rows(s, d):
+    files = t(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"), F.col("text").alias("content"), F.md5("text").alias("file_hash"), "project")
+    return projects.chunk_rows(files).select("row_key", F.md5("content").alias("content_hash"), "file_type")
+
+
 # -- logs -------------------------------------------------------------------------------------------------------------
 
 _MATCH_SQL = f"case when regexp_matches(line, '{DEVICE_SQL}') then 'device' when regexp_matches(line, '{ISO_SQL}') then 'iso' end"
