@@ -133,6 +133,15 @@ def test_config(tmp_path):
         with pytest.raises(ValueError):
             cf.validate_path(bad)
     assert cf.clamp_k(0) == 1 and cf.clamp_k(99) == 20
+    rules = cf.LogSettings(line_filters=(cf.FilterRule("x", False, 3),), transforms=(cf.Transform("strip", "y"),), group_rules=(cf.GroupRule("g", "s", ("c",)),), severity_map=(("E!", "error"),))
+    rich = cf.Config(embedding=cf.Embedding(dims=32, instruction="find:"), reranker=cf.Rerank(True), projects=(cf.Project("p", "/x", sources=(cf.Source("*.log", "log", log_patterns=(p,), log_settings=rules),)),))
+    cf.save(rich, str(tmp_path / "r.yaml"))
+    assert cf.load(str(tmp_path / "r.yaml")) == rich
+    (tmp_path / "bad.yaml").write_text("colour: red\n")
+    with pytest.raises(ValueError):
+        cf.load(str(tmp_path / "bad.yaml"))
+    made = cf.locate({"XDG_CONFIG_HOME": str(tmp_path)})
+    assert cf.load(made) == cf.Config() and cf.locate({"TIDEMARK_CONFIG": "/etc/t.yaml"}) == "/etc/t.yaml"
     whole = cf.Config(projects=(cf.Project("p", "/x", sources=(cf.Source("*.log", "log", log_patterns=(p,)),)), cf.Project("q", "/y", removed=True)))
     cf.save(whole, str(tmp_path / "c.yaml"))
     assert cf.load(str(tmp_path / "c.yaml")) == whole and [x.name for x in whole.active()] == ["p"]
@@ -160,6 +169,20 @@ def test_catalog(spark):
     assert catalog.match_removed(paths, "p", "a/x.c").count() == 1 and catalog.match_removed(paths, "p", "x.c").count() == 2 and catalog.match_removed(paths, "p", "q").count() == 0
 
 
+def test_index_source(spark):
+    lines = ["at x", "2025-01-01 10:00:00 ERR a 1", "  below", "2025-01-01 10:00:01 INF a 2", "2025-01-01 10:00:01 INF drop", "2025-01-01 11:00:00 E! late"]
+    df = spark.createDataFrame([("p/l/d-25-01-01.log", i + 1, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    pattern = cf.LogPattern("iso", r"^(?P<timestamp>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) (?P<severity>\S+) (?P<message>.*)$")
+    rules = cf.LogSettings(
+        transforms=(cf.Transform("strip", r" \d+"),), event_filters=(cf.FilterRule("^drop", False),), group_rules=(cf.GroupRule("g", "iso", ("iso",), 5000),), severity_map=(("E!", "critical"),)
+    )
+    got = log_rules.index_source(df, cf.Source("*.log", "log", log_patterns=(pattern,), log_settings=rules)).orderBy("line_start").collect()
+    assert [(r["id"], r["line_end"], r["severity"], r["text"], r["n_events"]) for r in got] == [("p/l/d-25-01-01.log::line_2", 4, "error", "a\n  below\na", 2), ("p/l/d-25-01-01.log::line_6", 6, "critical", "late", 1)]
+    assert got[0]["timestamp_start"] == "2025-01-01T10:00:00.000" and got[0]["timestamp_end"] == "2025-01-01T10:00:01.000"
+    only = log_rules.index_source(df, cf.Source("*.log", "log", log_patterns=(pattern,), log_settings=rules), since="10:30:00.000").collect()
+    assert [r["line_start"] for r in only] == [6]
+
+
 def test_project_verbs(spark, tmp_path):
     from tidemark.operators import projects as pj
 

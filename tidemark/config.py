@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import asdict, dataclass, field
+import shutil
+from dataclasses import asdict, dataclass, field, is_dataclass, replace
+from types import UnionType
+from typing import Union, get_args, get_origin, get_type_hints
 
 import yaml
 
@@ -70,10 +73,20 @@ class GroupRule:
 
 @dataclass(frozen=True)
 class LogSettings:
+    """Bounds of the log pipeline; a source may have its own rules beside them."""
+
     time_window_ms: int = 500
     max_group_lines: int = 100
     max_continuation_lines: int = 500
     dedup_threshold: int = 3
+    line_filters: tuple[FilterRule, ...] = ()
+    event_filters: tuple[FilterRule, ...] = ()
+    transforms: tuple[Transform, ...] = ()
+    group_rules: tuple[GroupRule, ...] = ()
+    severity_map: tuple[tuple[str, str], ...] = ()
+    keep_unmatched: bool = True
+    fallback_detect: str = ""
+    fallback_filters: tuple[FilterRule, ...] = ()
 
     def __post_init__(self) -> None:
         _between("time_window_ms", self.time_window_ms, 10, 300_000)
@@ -88,6 +101,7 @@ class Source:
     type: str = "documentation"
     description: str = ""
     log_patterns: tuple[LogPattern, ...] = ()
+    log_settings: LogSettings | None = None
 
     def __post_init__(self) -> None:
         if len(self.log_patterns) > 50:
@@ -106,10 +120,38 @@ class Project:
     removed: bool = False
 
 
+@dataclass(frozen=True)
+class Embedding:
+    model: str = "hashing"
+    dims: int = 64
+    instruction: str = ""
+    batch: int = 256
+
+
+@dataclass(frozen=True)
+class Rerank:
+    enabled: bool = False
+    model: str = "words"
+    overfetch_factor: int = 4
+
+    def __post_init__(self) -> None:
+        _between("overfetch_factor", self.overfetch_factor, 1, 100)
+
+
+@dataclass(frozen=True)
+class Storage:
+    path: str = "./index"
+    prefix: str = "project"
+
+
 @dataclass(frozen=True)
 class Config:
     chunk_size: int = 1000
     chunk_overlap: int = 200
+    embedding: Embedding = field(default_factory=Embedding)
+    reranker: Rerank = field(default_factory=Rerank)
+    storage: Storage = field(default_factory=Storage)
+    discovery_ignore: tuple[str, ...] = ("arch",)
     projects: tuple[Project, ...] = ()
     log_settings: LogSettings = field(default_factory=LogSettings)
     excluded_dirs: tuple[str, ...] = ("node_modules", "venv", ".venv", "bin", "obj", "build", "dist", "__pycache__", ".vs", ".git")
@@ -146,23 +188,35 @@ def validate_query(query: str, most: int = 1000) -> str:
     return query.strip()
 
 
-def load(path: str) -> Config:
-    with open(path, encoding="utf-8") as f:
-        raw = yaml.safe_load(f) or {}
+def _built(kind, raw):
+    """A value of a type hint from plain lists and mappings; unknown keys are an error, missing ones take defaults."""
+    origin, inside = get_origin(kind), get_args(kind)
+    if origin in (Union, UnionType):
+        return None if raw is None else _built(next(a for a in inside if a is not type(None)), raw)
+    if origin is tuple:
+        parts = [inside[0]] * len(raw or ()) if inside[-1] is Ellipsis else inside
+        return tuple(_built(k, x) for k, x in zip(parts, raw or ()))
+    if is_dataclass(kind):
+        hints = get_type_hints(kind)
+        if more := set(raw) - set(hints):
+            raise ValueError(f"unknown settings {sorted(more)} of {kind.__name__}")
+        return kind(**{k: _built(hints[k], v) for k, v in raw.items()})
+    return raw
 
-    def source(s: dict) -> Source:
-        return Source(s["pattern"], s.get("type", "documentation"), s.get("description", ""), tuple(LogPattern(**p) for p in s.get("log_patterns", [])))
 
-    def project(p: dict) -> Project:
-        base = os.path.expanduser(os.path.expandvars(p["base_path"]))
-        return Project(p["name"], base, p.get("description", ""), tuple(map(source, p.get("sources", []))), bool(p.get("removed", False)))
+def _resolved(path: str) -> str:
+    return os.path.expanduser(os.path.expandvars(path))
 
-    chunking = raw.get("chunking", {})
-    base = Config()
-    return Config(
-        chunking.get("size", base.chunk_size), chunking.get("overlap", base.chunk_overlap), tuple(map(project, raw.get("projects", []))),
-        LogSettings(**raw.get("log_settings", {})), tuple(raw.get("excluded_dirs", base.excluded_dirs)),
-    )
+
+def load(path: str) -> Config:
+    """A configuration from YAML; variables and ``~`` in paths are resolved."""
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f) or {}
+    chunks = raw.pop("chunking", {})
+    raw |= {f"chunk_{k}": v for k, v in chunks.items()}
+    made = _built(Config, raw)
+    projects = tuple(replace(p, base_path=_resolved(p.base_path)) for p in made.projects)
+    return replace(made, projects=projects, storage=replace(made.storage, path=_resolved(made.storage.path)))
 
 
 def save(config: Config, path: str) -> None:
@@ -175,3 +229,19 @@ def save(config: Config, path: str) -> None:
     out = {"chunking": {"size": whole.pop("chunk_size"), "overlap": whole.pop("chunk_overlap")}, **whole}
     with open(path, "w", encoding="utf-8") as f:
         yaml.safe_dump(out, f, sort_keys=False, allow_unicode=True)
+
+
+def locate(environ: dict[str, str], template: str | None = None) -> str:
+    """The configuration file in force, made where there is none: named by TIDEMARK_CONFIG, or in the user's
+    configuration folder, from a template or with defaults."""
+    if named := environ.get("TIDEMARK_CONFIG"):
+        return _resolved(named)
+    home = environ.get("XDG_CONFIG_HOME") or os.path.join(environ.get("HOME", "~"), ".config")
+    path = os.path.join(_resolved(home), "tidemark", "config.yaml")
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        if template and os.path.exists(template):
+            shutil.copyfile(template, path)
+        else:
+            save(Config(), path)
+    return path

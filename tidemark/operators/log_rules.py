@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import FilterRule, GroupRule, LogPattern, LogSettings, Transform
+from tidemark.config import FilterRule, GroupRule, LogPattern, LogSettings, Source, Transform
 from tidemark.functions.levels import rank, severity
 from tidemark.functions.rx import replacement, translate
 from tidemark.functions.text import is_blank
@@ -244,9 +244,17 @@ def group_rows(events: DataFrame) -> DataFrame:
     return per.withColumn("dedup_counts", counts).withColumn("text", F.array_join(said, "\n")).withColumn("n_events", F.size("_e")).drop("_e")
 
 
+def index_source(lines: DataFrame, source: Source, settings: LogSettings = LogSettings(), since: str | None = None, until: str | None = None) -> DataFrame:
+    """``index_log_lines`` with the patterns and rules that a configured source names; its own settings come first."""
+    own = source.log_settings or settings
+    if own.fallback_detect:
+        lines = fallback_filter(lines, own.fallback_detect, list(own.line_filters), list(own.fallback_filters), own.keep_unmatched)
+    return index_log_lines(lines, list(source.log_patterns), own, own.line_filters, own.transforms, own.group_rules, dict(own.severity_map), since, until, own.event_filters)
+
+
 def index_log_lines(
     lines: DataFrame, patterns: list[LogPattern], settings: LogSettings = LogSettings(), filters: list[FilterRule] = (), transforms: list[Transform] = (),
-    groups: list[GroupRule] = (), levels: dict[str, str] | None = None, since: str | None = None, until: str | None = None,
+    groups: list[GroupRule] = (), levels: dict[str, str] | None = None, since: str | None = None, until: str | None = None, event_filters: list[FilterRule] = (),
 ) -> DataFrame:
     """Raw lines (file, line_no, line) to one row per group with its ``id``, ready to be upserted by it.
 
@@ -261,6 +269,8 @@ def index_log_lines(
         events = events.where(time >= since)
     if until is not None:
         events = events.where(time <= until)
+    if event_filters:
+        events = events.where(line_filter(F.coalesce("message", F.lit("")), list(event_filters)))
     text = apply_chain(full_text(F.col("message"), F.col("continuation_lines")), list(transforms))
     ready = events.withColumn("message", text).withColumn("continuation_lines", F.array().cast("array<string>"))
     once = deduplicated(ready, settings.dedup_threshold)

@@ -142,6 +142,27 @@ def page_text_clean(s, d):
     return t(s, d, "files").where("is_pdf and content is not null").select("file_id", F.md5(fs.clean_page(F.col("content"))).alias("clean_hash"))
 
 
+_WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIM_SQL = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+_PAGE_SQL = "(select file_id, unnest(string_split(content, chr(12))) as page, generate_subscripts(string_split(content, chr(12)), 1) as n from files where is_pdf and content is not null)"
+
+
+@query(f"select file_id, md5(string_agg(page, chr(10) || chr(10) order by n)) as text_hash from (select file_id, n, {_TRIM_SQL('page')} as page from {_PAGE_SQL}) where page <> '' group by file_id")
+def pdf_raw_text(s, d):
+    pages = t(s, d, "files").where("is_pdf and content is not null").select("file_id", fs.raw_pages(F.split("content", "\f")).alias("text"))
+    return pages.where("text is not null").select("file_id", F.md5("text").alias("text_hash"))
+
+
+@query(rf"""
+    with l as (select file_id, n, list_filter(list_transform(string_split(page, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: not regexp_matches(x, '^[0-9]{{1,4}}$')) as k from {_PAGE_SQL} where {_TRIM_SQL('page')} <> ''),
+         b as (select file_id, n, list_filter(k, lambda x, i: x <> '' or (i > 1 and k[i - 1] <> '')) as k from l),
+         m as (select file_id, n, {_TRIM_SQL("array_to_string(list_transform(k, lambda x: case when length(x) < 80 and not regexp_matches(x, '[.,]$') and regexp_matches(x, '^[A-Z]') and length(x) - length(replace(x, ' ', '')) < 10 then '**' || x || '**' else x end), chr(10))")} as page from b)
+    select file_id, md5(string_agg('## Page ' || n || chr(10) || chr(10) || page, chr(10) || chr(10) order by n)) as text_hash from m group by file_id""")
+def pdf_pages(s, d):
+    pages = t(s, d, "files").where("is_pdf and content is not null").select("file_id", "content", fs.pages_markdown(F.split("content", "\f")).alias("text"))
+    return pages.where("text <> ''").select("file_id", F.md5("text").alias("text_hash"))
+
+
 @query(r"""
     with c as (select project as sheet, [trim(device_id), coalesce(trim(model), ''), coalesce(trim(tz_name), '')] as cells from devices where project is not null),
          u as (select *, list_max(list_transform(cells, lambda x, i: case when x <> '' then i else 0 end)) as used from c),
@@ -465,7 +486,6 @@ _HEX = ["0x4c", "4c", "0X4C", "0x4c", "0x4C", "$4C"]
 _AROUND_SQL = lambda text, term, n: rf"""(with z as (select {text} as t, lower({term}) as w), y as (select t, position(w in lower(t)) - 1 as a, length(w) as k from z)
     select case when a < 0 then substr(t, 1, 400) else (case when a > {n} then '...' else '' end) || regexp_replace(substr(t, greatest(a - {n}, 0)::int + 1, (least(length(t), a + k + {n}) - greatest(a - {n}, 0))::int), '^{_WS}+|{_WS}+$', '', 'g')
     || (case when a + k + {n} < length(t) then '...' else '' end) end from y)"""
-_WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HEX_SQL = "case " + " ".join(f"when contains(content, '{v}') then {i}" for i, v in enumerate(_HEX)) + " end"
 
 
@@ -656,12 +676,26 @@ def log_fallback_filter(s, d):
     return log_rules.fallback_filter(_plain_lines(s, d), r"^\w+\s", RULES, [FilterRule("INFO|info", False, 40)]).select("file", "line_no")
 
 
-@query(r"""select event_id, floor(epoch(try_cast(timestamp_raw as timestamptz)))::bigint as second from log_events
-    where regexp_matches(timestamp_raw, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$')
-    union all select event_id, timestamp_raw::bigint from log_events where regexp_matches(timestamp_raw, '^\d{10}$')""")
+_DAY_SQL = r"try_strptime('20' || regexp_extract(file, '(\d{2}-\d{2}-\d{2})\.log$', 1), '%Y-%m-%d')"
+
+
+@query(rf"""select event_id, second from (select event_id, floor(case
+      when regexp_matches(r, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?Z$') then epoch(try_cast(regexp_replace(r, 'Z$', '') as timestamp))
+      when regexp_matches(r, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?$') then epoch(try_cast(replace(r, ',', '.') as timestamp))
+      when regexp_matches(r, '^\d{{10}}$') then r::double when regexp_matches(r, '^\d{{13}}$') then floor(r::bigint / 1000)
+      when regexp_matches(r, '^\d{{2}}:\d{{2}}:\d{{2}}:\d{{3}}$') then epoch({_DAY_SQL}) + substr(r, 1, 2)::int * 3600 + substr(r, 4, 2)::int * 60 + substr(r, 7, 2)::int end)::bigint as second
+    from (select event_id, file, trim(timestamp_raw) as r from log_events)) where second is not null""")
 def ts_normalize(s, d):
-    e = t(s, d, "log_events").where(F.col("timestamp_raw").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$|^\d{10}$"))
-    return e.select("event_id", F.floor(utc_micros(F.col("timestamp_raw"))["earliest"] / 1_000_000).alias("second"))
+    forms = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$|^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?$|^\d{10}$|^\d{13}$|^\d{2}:\d{2}:\d{2}:\d{3}$"
+    e = t(s, d, "log_events").where(F.trim("timestamp_raw").rlike(forms))
+    at = log_rules.normalized_stamp(F.col("timestamp_raw"), F.col("file"), F.lit(None).cast("timestamp"))
+    return e.select("event_id", F.unix_seconds(at).alias("second")).where("second is not null")
+
+
+@query(r"""select event_id, case when regexp_matches(m, '^\s+at ') then false when regexp_matches(m, '(?:ERROR|WARN|CRITICAL)') then true when regexp_matches(m, '^\s*$') then false else true end as kept
+    from (select event_id, coalesce(message, '') as m from log_events)""")
+def event_filter(s, d):
+    return t(s, d, "log_events").select("event_id", log_rules.line_filter(F.coalesce("message", F.lit("")), RULES).alias("kept"))
 
 
 @query(r"select distinct file, try_strptime('20' || regexp_extract(file, '(\d{2}-\d{2}-\d{2})\.log$', 1), '%Y-%m-%d')::date as day from log_events")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import decode_text, excluded, glob_regex, is_binary
+from tidemark.functions.text import decode_text, excluded, glob_regex, is_binary, strip
 
 # Extensions in order of discovery with the type of their files.
 EXTENSIONS = {
@@ -56,6 +56,18 @@ def clean_page(text: Column) -> Column:
     return F.array_join(F.transform(blanks, lambda x: F.when(heading(x), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)), "\n")
 
 
+def raw_pages(pages: Column) -> Column:
+    """Pages that are not blank, stripped, a blank line between them; null without any."""
+    kept = F.filter(F.transform(pages, strip), lambda x: x != "")
+    return F.when(F.size(kept) > 0, F.array_join(kept, "\n\n"))
+
+
+def pages_markdown(pages: Column) -> Column:
+    """Pages cleaned, each under a heading with its number; pages without text are left out, their numbers stay."""
+    headed = F.transform(pages, lambda x, i: F.when(strip(x) != "", F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), strip(clean_page(x)))))
+    return F.array_join(F.array_compact(headed), "\n\n")
+
+
 def markdown_table(rows: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
     """One Markdown table per sheet: rows without any cell are left out, trailing empty columns trimmed, cells stripped."""
     cells = F.array(*[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", ""), F.lit("")) for c in columns])
