@@ -224,6 +224,8 @@ def test_rerank_falls_back(spark):
     df = spark.createDataFrame([(1, "p", "a", "doc", "heater fan"), (2, "p", "b", "doc", "fan"), (3, "q", "c", "doc", None)], "chunk_id int, project string, file_path string, file_type string, content string")
     from tidemark.operators import tools
 
+    blank = spark.createDataFrame([(9, "p", "z", "doc", " ")], df.schema)
+    assert [r["chunk_id"] for r in tools.search_docs(df.unionByName(blank), "heater", vectors.HashEmbedder(), 9).collect()] == [1, 2, 9]
     plain = [r["chunk_id"] for r in tools.search_docs(df, "heater", vectors.HashEmbedder(), 2).collect()]
     assert [r["chunk_id"] for r in tools.search_docs(df, "heater", vectors.HashEmbedder(), 2, reranker=Broken()).collect()] == plain == [1, 2]
     best = tools.search_docs(df, "fan", vectors.HashEmbedder(), 1, reranker=vectors.WordScorer()).first()

@@ -36,9 +36,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """``cosine``, or ``l2sq`` for one minus the squared distance."""
+    """``cosine``, or ``l2sq`` for one minus the squared distance; null for the cosine of a vector of zeros."""
     if metric == "cosine":
-        return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     if metric == "l2sq":
         return 1 - (dot(a, a) + dot(b, b) - 2 * dot(a, b))
     raise ValueError(f"unknown metric {metric}")
@@ -59,12 +59,12 @@ def scored(vectors: DataFrame, query: list[float], metric: str = "cosine", digit
 
 
 def top_k(rows: DataFrame, k: int, *keys: str) -> DataFrame:
-    """The k most relevant rows, ties by the given keys."""
-    return rows.orderBy(F.desc("relevance"), *keys).limit(k)
+    """The k most relevant rows, ties by the given keys, rows without relevance last."""
+    return rows.orderBy(F.desc_nulls_last("relevance"), *keys).limit(k)
 
 
 def top_k_per(rows: DataFrame, k: int, group: str, *keys: str) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(F.desc("relevance"), *keys)
+    order = Window.partitionBy(group).orderBy(F.desc_nulls_last("relevance"), *keys)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
