@@ -39,6 +39,26 @@ def test_agglomeration_against_brute_force():
         assert got == want
 
 
+def test_near_merging_against_brute_force():
+    """Always the most alike neighbours within the limits, the left ones of equals, until none is left."""
+    rng = random.Random(11)
+    for _ in range(60):
+        words = [tuple(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 25))]
+        times = [float(i * 10 + rng.choice([0, 40])) for i in range(len(words))]
+        spans = [[i, i, words[i], 1, times[i], times[i]] for i in range(len(words))]
+        while True:
+            best = None
+            for k, (a, b) in enumerate(zip(spans, spans[1:])):
+                score = runs.likeness(a[2], b[2])
+                if score >= 0.6 and b[4] - a[5] <= 45 and (best is None or score > best[0]):
+                    best = (score, k)
+            if best is None:
+                break
+            a, b = spans[best[1]], spans.pop(best[1] + 1)
+            spans[best[1]] = [a[0], b[1], b[2] if b[3] > a[3] else a[2], a[3] + b[3], a[4], b[5]]
+        assert runs.agglomerate(words, times, times, 0.6, 45.0) == [(s[0], s[1]) for s in spans]
+
+
 def test_gap_and_similarity():
     words = [("a", "b", "c", "d"), ("a", "b", "c", "e"), ("x",), ("x",)]
     times = [0.0, 1e6, 2e6, 9e6]

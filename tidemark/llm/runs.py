@@ -29,6 +29,8 @@ _TIMES = re.compile(
     rf"\d{{4}}[-/]\d\d[-/]\d\d[t ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?: ?z\b| ?[+-]\d\d:?\d\d)?|\d{{8}}t\d{{6}}z?|{_MONTH} +\d\d? \d\d:\d\d:\d\d"
     rf"|\d\d?[-/. ](?:\d\d|{_MONTH})[-/. ]\d{{4}}(?:[: ]\d\d:\d\d:\d\d)?|\d\d?:\d\d(?::\d\d(?:[:.,]\d+)?)?(?: ?[ap]m\b)?"
 )
+_WORDS, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
+_MAYBE_TIME = re.compile(r":\d\d|\d{4}")  # no time is without
 _ID = re.compile(r"(?:0x)?[0-9a-f]*\d[0-9a-f]*|0x[0-9a-f]+")
 _RUN_FIELDS = "run_no int, line_start int, line_end int, message string, n int, start_us bigint, end_us bigint, same_words boolean"
 
@@ -37,9 +39,11 @@ def message_words(message: str | None) -> tuple[str, ...] | None:
     """The words of a message that count: no embedded times, numbers, identifiers, case, spacing or punctuation."""
     if message is None or not message.strip():
         return None
-    text = _TIMES.sub(" ", message.lower())
-    words = (w for w in re.findall(r"\w+", text.replace("_", " ")) if not _ID.fullmatch(w))
-    return tuple(w for w in (re.sub(r"\d+", "", x) for x in words) if w)
+    text = message.lower()
+    if _MAYBE_TIME.search(text):
+        text = _TIMES.sub(" ", text)
+    words = (w for w in _WORDS.findall(text) if not _ID.fullmatch(w))
+    return tuple(w for w in (_DIGITS.sub("", x) if not x.isalpha() else x for x in words) if w)
 
 
 def likeness(a: tuple[str, ...] | None, b: tuple[str, ...] | None) -> float:

@@ -16,6 +16,7 @@ that never closes counts for nothing; Thai is cut at spaces. Repeated rows give
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from bisect import bisect_right
@@ -123,17 +124,13 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+_NEXT = re.compile(rf"\s*([{re.escape(OPENERS)}]*)(\S*)")
+
+
 def _next_word(text: str, at: int, end: int) -> tuple[int, str]:
     """Position and text of the next word without opening signs; its end punctuation stays."""
-    while at < end and text[at].isspace():
-        at += 1
-    start = at
-    while at < end and text[at] in OPENERS:
-        at += 1
-    stop = at
-    while stop < end and not text[stop].isspace():
-        stop += 1
-    return start, text[at:stop]
+    m = _NEXT.match(text, at, end)
+    return m.start(1), m[2]
 
 
 _BARE = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
@@ -167,10 +164,11 @@ def _single(word: str) -> bool:
 
 def word_before(text: str, start: int, at: int) -> str:
     """The word that ends right before ``at``, as it is counted."""
-    k = at
-    while k > start and not text[k - 1].isspace():
-        k -= 1
-    return stem_before(text[k:at])
+    k = text.rfind(" ", start, at) + 1 or start
+    token = text[max(k, text.rfind("\n", k, at) + 1) : at]
+    if token and not token[-1].isspace():
+        return stem_before(token.split()[-1])
+    return ""
 
 
 class Candidate(NamedTuple):
@@ -253,21 +251,18 @@ def _count_elsewhere(text: str, candidates: list[Candidate], counts: dict[str, l
     if not after and not before:
         return
     tokens = text.split()
-    plain = Counter(w for t in tokens if (w := t.rstrip(",;:")) in before)
-    for word, n in plain.items():
-        counts.setdefault("a:" + word, [0, 0, 0, 0])[2] += n
-    small = {w.lower(): w for w in after}
-    known = after | small.keys()
-    last = "."
-    for token in tokens:
-        word = token if token in known else token.rstrip(",;:.!?")
-        if word in known:
-            if word in after:
-                if last[-1].islower():
-                    counts.setdefault("s:" + word, [0, 0, 0, 0])[2] += 1
-            else:
-                counts.setdefault("s:" + small[word], [0, 0, 0, 0])[3] += 1
-        last = token
+    all_counts = Counter(tokens)
+    for word in before:
+        if n := sum(all_counts[word + sign] for sign in ("", ",", ";", ":")):
+            counts.setdefault("a:" + word, [0, 0, 0, 0])[2] += n
+    ends = ("", ",", ";", ":", ".", "!", "?")
+    for word in after:
+        if n := sum(all_counts[word.lower() + sign] for sign in ends) if word.lower() not in after else 0:
+            counts.setdefault("s:" + word, [0, 0, 0, 0])[3] += n
+    large = {word + sign: "s:" + word for word in after for sign in ends}
+    for k, token in enumerate(tokens):
+        if token in large and k and tokens[k - 1][-1].islower():
+            counts.setdefault(large[token], [0, 0, 0, 0])[2] += 1
 
 
 def _judge_block(text: str, start: int, end: int, whole: bool, starts: list[int], candidates: list[Candidate], count) -> None:
@@ -433,27 +428,47 @@ def unit_starts(analysis: Analysis, judge: Judge) -> list[int]:
     return sorted({*analysis.starts, *(c.at for c in analysis.candidates if judge.accepts(c))})
 
 
-_ANALYSED = (
-    "doc_id bigint, text string, starts array<int>, candidates array<struct<at: int, rule: string, word: string, next_word: string, opened: boolean>>, "
-    "counts array<struct<key: string, n1: bigint, n2: bigint, n3: bigint, n4: bigint>>, need array<string>"
-)
-_COLUMNS = ["doc_id", "text", "starts", "candidates", "counts", "need"]
+_ANALYSED = "doc_id bigint, text string, state binary, need array<string>, counts array<string>"
+_COLUMNS = ["doc_id", "text", "state", "need", "counts"]
+
+
+def _line(key: str, n: list[int]) -> str:
+    return f"{key}\t{n[0]}\t{n[1]}\t{n[2]}\t{n[3]}"
+
+
+def _table(lines) -> dict[str, tuple]:
+    out = {}
+    for line in lines if lines is not None else ():
+        key, *n = line.split("\t")
+        out[key] = tuple(map(int, n))
+    return out
 
 
 def analysed(documents: DataFrame, with_text: bool = False) -> DataFrame:
-    """Each text read once: its sure starts, its candidates and what it counts."""
+    """Each text read once: what it says by itself (``state``, for ``_decide``) and the words it needs to know about.
+
+    Counts for the corpus are summed up within a batch, in a row without ``state``. Lists cross to the JVM as strings and
+    bytes, at a fraction of the cost of nested columns.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, sums = [], {}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 if text:
                     a = analyse(text)
-                    out.append((doc_id, text if with_text else None, a.starts, [tuple(c) for c in a.candidates], [(k, *v) for k, v in a.counts.items()], list(needed_keys(a.candidates))))
+                    out.append((doc_id, text if with_text else None, pickle.dumps((a.starts, [tuple(c) for c in a.candidates], a.counts)), list(needed_keys(a.candidates)), None))
+                    for key, n in a.counts.items():
+                        if row := sums.get(key):
+                            for k in range(4):
+                                row[k] += n[k]
+                        else:
+                            sums[key] = list(n)
                 if len(out) >= 500:
                     yield pd.DataFrame(out, columns=_COLUMNS)
                     out = []
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            out.append((None, None, None, None, [_line(k, n) for k, n in sums.items()]))
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
     return spread(documents.select("doc_id", "text")).mapInPandas(work, _ANALYSED)
 
@@ -465,17 +480,20 @@ def with_corpus(documents: DataFrame, with_text: bool = False) -> DataFrame:
     ``SALTS`` times and a document asks for one of the copies.
     """
     rows = stored(analysed(documents, with_text))
-    counts = rows.select(F.explode("counts").alias("c")).groupBy("c.key").agg(*[F.sum(f"c.n{i}").alias(f"n{i}") for i in range(1, 5)])
-    copies = counts.where("n1 > 0 or n2 > 0 or n3 > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    asked = rows.select("doc_id", F.explode("need").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    known = asked.join(copies.hint("merge"), ["key", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("key", "n1", "n2", "n3", "n4")).alias("corpus"))
-    return rows.drop("need").join(known, "doc_id", "left")
+    part = F.split("line", "\t")
+    counts = rows.where("state is null").select(F.explode("counts").alias("line")).groupBy(part[0].alias("key")).agg(*[F.sum(part[i].cast("bigint")).alias(f"n{i}") for i in range(1, 5)])
+    known = counts.where("n1 > 0 or n2 > 0 or n3 > 0").select("key", F.concat_ws("\t", "key", "n1", "n2", "n3", "n4").alias("line"))
+    copies = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    documents_ = rows.where("state is not null")
+    asked = documents_.select("doc_id", F.explode("need").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    answered = asked.join(copies.hint("merge"), ["key", "salt"]).groupBy("doc_id").agg(F.collect_list("line").alias("corpus"))
+    return documents_.select("doc_id", "text", "state").join(answered, "doc_id", "left")
 
 
-def _decide(starts, candidates, counts, corpus) -> list[int]:
-    table = lambda rows: {} if rows is None else {r["key"]: (r["n1"], r["n2"], r["n3"], r["n4"]) for r in rows}
-    found = [Candidate(c["at"], c["rule"], c["word"], c["next_word"], c["opened"]) for c in candidates]
-    return unit_starts(Analysis(list(starts), found, {}), Judge(table(counts), table(corpus)))
+def _decide(state: bytes, corpus) -> list[int]:
+    starts, candidates, counts = pickle.loads(state)
+    own = {k: tuple(n) for k, n in counts.items()}
+    return unit_starts(Analysis(starts, [Candidate(*c) for c in candidates], {}), Judge(own, _table(corpus)))
 
 
 def found_units(documents: DataFrame) -> DataFrame:
@@ -483,12 +501,9 @@ def found_units(documents: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, starts = [], []
-            for doc_id, *row in zip(*(batch[c] for c in ("doc_id", "starts", "candidates", "counts", "corpus"))):
-                found = _decide(*row)
-                starts.extend(x + 1 for x in found)
-                ids.extend([doc_id] * len(found))
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "start_at": pd.Series(starts, dtype="int32")})
+            found = [_decide(*x) for x in zip(batch["state"], batch["corpus"])]
+            ids = batch["doc_id"].astype("Int64").repeat([len(x) for x in found])
+            yield pd.DataFrame({"doc_id": ids.reset_index(drop=True), "start_at": pd.Series([x + 1 for each in found for x in each], dtype="int32")})
 
     return with_corpus(documents).drop("text").mapInPandas(work, "doc_id bigint, start_at int")
 
@@ -499,7 +514,7 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, *row in zip(*(batch[c] for c in ("doc_id", "text", "starts", "candidates", "counts", "corpus"))):
+            for doc_id, text, *row in zip(*(batch[c] for c in ("doc_id", "text", "state", "corpus"))):
                 found = _decide(*row)
                 for n, (a, b) in enumerate(zip(found, [*found[1:], len(text)])):
                     out.append((doc_id, n, a + 1, text[a:b].rstrip()))
