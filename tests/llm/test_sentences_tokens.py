@@ -173,6 +173,9 @@ def test_weights():
     w, e = mixing.limited_weights([0.1, 0.2, 0.7], [0.5, 0.3, 0.2], [0.3, 0.35, 9])
     assert abs(sum(w) - 1) < 1e-9 and w[0] == 0.3 and abs(w[1] - 0.35) < 1e-9 and 0 < e < 1
     assert mixing.limited_weights(even, even, [0.1, 0.2])[0] == [0.1, 0.2]
+    # a source is never raised to its limit only because equal repeats would pass it
+    w, _ = mixing.limited_weights([0.45, 0.45, 0.1], [0.6, 0.1, 0.3], [0.2, 0.3, 0.9])
+    assert w[0] == 0.2 and abs(sum(w) - 1) < 1e-9 and abs(w[1] / w[2] - 1 / 3) < 1e-6
     assert mixing.limited_weights([0.0, 1.0], even, [0.0, 9])[0] == [0.0, 1.0]
     shares = [0.7, 0.2, 0.1]
     x = mixing.exponent_for_entropy(shares, 1.0)

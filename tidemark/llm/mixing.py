@@ -58,7 +58,7 @@ def limited_weights(shares: list[float], targets: list[float], limits: list[floa
     """Weights within the limits, and the exponent of the sources that are not at theirs.
 
     Sources whose target exceeds their limit are set to it. Then the least exponent is bisected at which the others hold
-    theirs; where none does, those that exceed theirs at 1 are set as well, and so on.
+    theirs; where even 1 doesn't do, those that exceed theirs at 0 are set as well, and so on.
     """
     weights = [0.0] * len(shares)
     free = [i for i, (p, t) in enumerate(zip(shares, targets)) if p > 0 and t > 0]
@@ -77,8 +77,8 @@ def limited_weights(shares: list[float], targets: list[float], limits: list[floa
         over = lambda e: [i for i, w in zip(free, at(e)) if w > limits[i] * (1 + 1e-12)]
         if not over(0.0):
             exponent = 0.0
-        elif too_much := over(1.0):
-            fix(too_much)
+        elif over(1.0):
+            fix(over(0.0))
             continue
         else:
             low, high = 0.0, 1.0
