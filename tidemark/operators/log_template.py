@@ -69,7 +69,7 @@ _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+")
 _LEXED = T.StructType(
     [
         T.StructField("mask", T.StringType()),
-        T.StructField("tokens", T.ArrayType(T.StringType())),
+        T.StructField("tokens", T.StringType()),
         T.StructField("blank", T.BooleanType()),
         T.StructField("labelled", T.BooleanType()),
     ]
@@ -109,9 +109,14 @@ def lex(line: str | None) -> tuple[str, list[str], bool, bool]:
     return " ".join(masks), tokens, False, labelled
 
 
+BETWEEN = "\x1f"  # stands between tokens on their way to the JVM, where they are split; no line keeps this character
+
+
 @F.pandas_udf(_LEXED)
 def _lex_udf(lines: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([lex(x) for x in lines], columns=["mask", "tokens", "blank", "labelled"])
+    found = [lex(x) for x in lines]
+    masks, tokens, blank, labelled = zip(*found) if found else ((), (), (), ())
+    return pd.DataFrame({"mask": masks, "tokens": [BETWEEN.join(t) for t in tokens], "blank": blank, "labelled": labelled})
 
 
 def _is_word(token: str) -> bool:
@@ -313,7 +318,7 @@ def parsed_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, full: bool =
     # blank lines have no mask; so that they do not meet in one task, each takes one of many names that no mask has
     lexed = lexed.withColumn("mask", F.when(F.col("blank"), F.concat(F.lit(" "), (F.col("line_no") % 256).cast("string"))).otherwise(F.col("mask")))
     field = lambda at: F.when(F.col(at).isNotNull(), F.try_element_at(F.col("tokens"), F.col(at) + 1))
-    joined = lexed.join(roles, "mask", "left")
+    joined = lexed.join(roles, "mask", "left").withColumn("tokens", F.when(F.col("kind") != "text", F.split("tokens", BETWEEN)))
     more = [] if not full else ["line", "template", F.array_join(F.slice("tokens", F.coalesce(F.col("message_at"), F.lit(0)) + 1, F.size("tokens")), " ").alias("message_tokens")]
     return joined.select(
         "file", "_block", "line_no", "blank", "labelled",
