@@ -123,7 +123,7 @@ def test_page_numbers():
 def test_words_in_spark_as_in_python(spark):
     text = "\x0cHead 3\n(One)\u00a0two-\nfold, three\x1cfour\n\n  \nx-\ny"
     files_ = spark.createDataFrame([(1, text, True, "documentation"), (2, "Über (über) x, x", False, "source"), (3, "", True, None)], "file_id bigint, content string, is_pdf boolean, file_type string")
-    model = scans.PageModel({"bias": -1.0}, frozenset(), {"bias": 1.0}, frozenset())
+    model = scans.PageModel({"bias": -1.0}, {"bias": -1.0}, frozenset(), {"bias": 1.0}, frozenset())
     pages = scans.judged_pages(files_, model)
     got = sorted((r["lines"], r["word"]) for r in scans.scan_words(pages).collect())
     assert got == [("1", "3"), ("1", "Head"), ("2", "One"), ("2,3", "two-\nfold"), ("3", "four"), ("3", "three"), ("6,7", "x-\ny")]
