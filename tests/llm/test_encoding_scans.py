@@ -189,3 +189,22 @@ def test_very_long_words(spark):
     lexicon = spark.createDataFrame([(right, 9)], "word string, n_clean bigint")
     got = {r["word"]: r["fixed"] for r in scans.corrections(rows, lexicon, scans.train_editor(list(VOCABULARY)), {"bias": 1.0}).collect()}
     assert set(got.values()) == {right} and set(got) == {w for w in wrong if w != right and "rb" not in w}
+
+
+def test_misreadings_in_scans_taken_for_clean(spark):
+    """A misreading common in scans stays one though a few scans pass for clean files; a word of scans only by its topic stays too."""
+    rng = random.Random(6)
+    text = lambda k: "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(9)) + "." for _ in range(k))
+    clean = [(i, text(14), False, "documentation") for i in range(60)]
+    # one scan nobody can tell from a clean file, also read again; and a service few clean files name, next to its misreading
+    clean += [(i, text(14) + " The calibrafion table rneasured quiet.", False, "documentation") for i in (60, 61)]
+    clean += [(62 + i, text(14) + " The navmerge ends.", False, "documentation") for i in range(3)] + [(66, text(14) + " The navmcrge ends.", False, "documentation")]
+    scans_ = []
+    for i in range(30):
+        lines = scan_text(rng)
+        lines[7] = "when the calibrafion table rneasured quiet"
+        lines[9] = "when the navmerge table quiet"
+        scans_.append((900 + i, "\n".join(lines), True, "documentation"))
+    table = spark.createDataFrame(clean + scans_, "file_id bigint, content string, is_pdf boolean, file_type string")
+    got = {(r["file_id"], r["line_no"]) for r in scans.found_faults(table).where("fault = 'misread'").collect()}
+    assert got == {(900 + i, 8) for i in range(30)}

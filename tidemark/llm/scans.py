@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.session import spread, stored, widened
 
 TRAIN_WORDS, TRAIN_TEXTS, EPOCHS, BEAM, MARGIN = 6000, 300, 4, 16, 20.0
+DOUBT = 4  # times as common in scans as in clean texts: not known from these
 LONG = 60  # characters from which edits of a word are found by halves, with the same result
 EDGES = ".,;:!?\"“”„«»()[]{}¡¿…'’‘·/<>*#=+~—–"
 HYPHENS = "-‐‑¬­"
@@ -626,11 +627,18 @@ def _tokens(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def distinct_texts(pages: DataFrame) -> DataFrame:
+    """One row a text, whatever its copies; only texts that have copies are shuffled."""
+    again = pages.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id")
+    return pages.join(again, "text_id", "left_anti").unionByName(pages.join(again, "text_id", "left_semi").dropDuplicates(["text_id", "scan"]))
+
+
 def clean_words(pages: DataFrame) -> DataFrame:
-    """(word, n_clean): words of clean files, small, with the number of files that have them."""
+    """(word, n_clean): words of clean files, small, with the number of texts that have them."""
     distinct = F.array_distinct(_tokens(F.replace(F.col("content"), F.lit("\n"), F.lit(" "))))
     words = F.array_distinct(F.transform(distinct, lambda x: F.lower(F.btrim(x, F.lit(EDGES)))))
-    return pages.where("not scan").select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_clean"))
+    clean = distinct_texts(pages.where("not scan").select("text_id", "scan", "content"))
+    return clean.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_clean"))
 
 
 def scan_words(pages: DataFrame) -> DataFrame:
@@ -642,10 +650,22 @@ def scan_words(pages: DataFrame) -> DataFrame:
     return single.unionByName(broken)
 
 
-def unknown_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Words of scans, with where they stand, that clean files do not know."""
-    known = lexicon.select(F.col("word").alias("_known"))
-    return stored(words.join(known, F.lower("word") == F.col("_known"), "left_anti").where(_fits(F.col("word"))))
+def asked_words(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, n, n_own): words of scans that clean files do not know, or seem to know only from scans taken for clean files,
+    with the numbers of scans and of clean texts that have them.
+
+    A misreading common in scans gets into clean files with the few scans that nothing marks as such, and the more so the
+    more files there are. So a word is in doubt if its share of scans is over ``DOUBT`` times its share of clean texts (one scan
+    proves nothing), and then counts as misread only for a word that clean texts have ``DOUBT`` times as often.
+    """
+    scans = distinct_texts(pages.where("scan").select("text_id", "scan", "words", "breaks"))
+    each = F.concat(F.transform("words", lambda w: F.substring_index(w, "\t", 1)), F.array_distinct(F.transform("breaks", lambda b: b.word)))
+    counted = stored(scans.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(_fits(F.col("word"))))
+    small = counted.groupBy(F.lower("word").alias("_small")).agg(F.sum("n").alias("n_scan"))
+    texts = pages.agg(*[F.count_distinct(F.when(which, F.col("text_id"))) for which in (F.col("scan"), ~F.col("scan"))]).first()
+    rate = F.col("n_clean") * float(texts[0]) * DOUBT < (F.col("n_scan") - 1) * float(texts[1])
+    judged = small.join(lexicon.withColumnRenamed("word", "_small"), "_small", "left").where(F.col("n_clean").isNull() | rate).select("_small", F.coalesce("n_clean", F.lit(0)).alias("n_own"))
+    return stored(counted.join(judged, F.lower("word") == F.col("_small")).select("word", "n", "n_own"))
 
 
 def _in_second(word: str, fixed: str) -> bool:
@@ -756,7 +776,8 @@ def train_acceptance(sample: list[str], lexicon: DataFrame, editor: Editor, seed
 
 
 def corrections(words: DataFrame, lexicon: DataFrame, editor: Editor, accept: dict[str, float]) -> DataFrame:
-    """(word, fixed, joined, changed, second) for words of scans that clean files do not know; ``words`` has word and text_id.
+    """(word, fixed, joined, changed, second) for words of scans that clean files do not know; ``words`` are
+    those of ``asked_words``, or word and text_id.
 
     ``second``: of a broken word, the change is in the part on the second line.
     """
@@ -774,10 +795,12 @@ def corrections(words: DataFrame, lexicon: DataFrame, editor: Editor, accept: di
             yield batch.loc[~batch["changed"] | (batch["score"] > 0) & ~pd.Series(rare, index=batch.index) | pd.Series(odd, index=batch.index), ["word", "fixed", "joined", "changed", "second", "score", "margin", "n_clean"]]
 
     # copies of a scan under other file_ids are one text
-    counted = words.select("word", "text_id").distinct().groupBy("word").agg(F.count("*").alias("n"))
-    judged = proposals(counted, lexicon, editor).mapInPandas(
+    counted = words if "n" in words.columns else words.select("word", "text_id").distinct().groupBy("word").agg(F.count("*").alias("n"), F.lit(0).alias("n_own"))
+    judged = proposals(counted.select("word", "n"), lexicon, editor).mapInPandas(
         work, "word string, fixed string, joined boolean, changed boolean, second boolean, score double, margin double, n_clean bigint"
     )
+    own = counted.where("n_own > 0").select("word", "n_own")
+    judged = judged.join(own, "word", "left").where(F.col("n_own").isNull() | (F.col("n_clean") >= F.col("n_own") * DOUBT))
     first = F.struct("changed", F.col("fixed").rlike(r"\p{Ll}\p{Lu}"), -F.col("score"), -F.col("margin"), -F.col("n_clean"), "fixed")
     best = F.min_by(F.struct("fixed", "joined", "changed", "second"), first)
     return stored(judged.groupBy("word").agg(best.alias("b")).select("word", "b.*"))
@@ -791,34 +814,36 @@ def bounded_sample(rows: DataFrame, key: str, value: str, total: int, n: int) ->
     return [r[0] for r in some.collect()]
 
 
-def word_models(lexicon: DataFrame) -> tuple[Editor, dict[str, float]]:
-    """The editor and what accepts its proposals, from two samples of the clean words."""
+def word_models(lexicon: DataFrame, doubted: DataFrame) -> tuple[Editor, dict[str, float]]:
+    """The editor and what accepts its proposals, from two samples of the clean words that are not in doubt."""
+    sure = lexicon.join(doubted, "word", "left_anti")
     half = F.pmod(F.xxhash64("word", F.lit(3)), F.lit(2))
-    learnable = lexicon.where(F.col("word").rlike(r"^[\p{L}'’-]{2,60}$") & (F.col("n_clean") >= 2) & (half == 0))
+    learnable = sure.where(F.col("word").rlike(r"^[\p{L}'’-]{2,60}$") & (F.col("n_clean") >= 2) & (half == 0))
     editor = train_editor(bounded_sample(learnable, "word", "word", learnable.count(), TRAIN_WORDS))
     # codes and rare words are among those to leave alone
-    other = lexicon.where((half == 1) & (F.length("word") <= LONG) & _fits(F.col("word")))
+    other = sure.where((half == 1) & (F.length("word") <= LONG) & _fits(F.col("word")))
     return editor, train_acceptance(bounded_sample(other, "word", "word", other.count(), TRAIN_WORDS), lexicon, editor)
 
 
-def models(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Judged pages, the words of scans that clean files do not know, and their fixes."""
+def models(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged pages, and the fixes of words of scans that clean files do not know."""
     candidates = files.where("not coalesce(is_pdf, false) and file_type = 'documentation'")
     clean = candidates.where("content is not null").where(~F.col("content").contains("\f"))
     model = train_pages(bounded_sample(clean, "file_id", "content", candidates.count(), TRAIN_TEXTS))
     pages = judged_pages(files, model)
     lexicon = stored(clean_words(pages))
-    unknown = unknown_words(scan_words(pages), lexicon)
-    return pages, unknown, corrections(unknown, lexicon, *word_models(lexicon))
+    asked = asked_words(pages, lexicon)
+    doubted = asked.where("n_own > 0").select(F.lower("word").alias("word")).distinct()
+    return pages, corrections(asked, lexicon, *word_models(lexicon, doubted))
 
 
 def found_faults(files: DataFrame) -> DataFrame:
     """(file_id, line_no, fault), each once."""
-    pages, unknown, fixes = models(files)
+    pages, fixes = models(files)
     line = lambda x: x + 1
     marked = pages.where("scan").select("file_id", F.explode(F.map_from_arrays(F.array(F.lit("furniture"), F.lit("broken_word")), F.array(F.transform("furniture", line), F.transform("breaks.line", line)))).alias("fault", "lines"))
     known = marked.select("file_id", F.explode("lines").alias("line_no"), "fault")
-    hits = unknown.join(fixes.where("changed").select("word", "second"), "word")
+    hits = scan_words(pages).join(fixes.where("changed").select("word", "second"), "word")
     lines = F.split("lines", ",").cast("array<int>")
     on = F.when(F.col("word").contains(BREAK), F.array(F.when(F.col("second"), lines[1]).otherwise(lines[0]))).otherwise(lines)
     return known.unionByName(hits.select("file_id", F.explode(on).alias("line_no"), F.lit("misread").alias("fault"))).distinct()
@@ -866,8 +891,8 @@ def repair(content: str, furniture: set[int], breaks: dict[int, tuple[str, int]]
 
 def repaired_files(files: DataFrame) -> DataFrame:
     """(file_id, repaired) of scans."""
-    pages, unknown, fixes = models(files)
-    per = unknown.select("file_id", "word").join(fixes, "word").groupBy("file_id").agg(F.collect_set(F.struct("word", "fixed", "joined", "changed")).alias("fixes"))
+    pages, fixes = models(files)
+    per = scan_words(pages).select("file_id", "word").join(fixes, "word").groupBy("file_id").agg(F.collect_set(F.struct("word", "fixed", "joined", "changed")).alias("fixes"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
