@@ -160,3 +160,13 @@ def test_file_by_byte_ranges(spark, tmp_path):
             assert all(len(p["content"]) <= 20 for p in got)
             assert all(text[p["start"] : p["stop"]] == p["content"] and p["content"][p["overlap"] :] == data[p["byte_start"] : p["byte_stop"]].decode() for p in got)
             assert [(p["start"], p["start"] + p["overlap"], p["stop"]) for p in got] == whole_cuts(text, 20, 6, ["\n\n", "\n", ". ", " "])
+
+
+def test_found_by_its_pieces(spark, monkeypatch):
+    """What is too long is told from the pieces emitted from the stitched cuts, not from a length."""
+    rows = [(1, "one two three", 5, 1, [" "]), (2, "one", 5, 1, [" "]), (3, " " * 9, 5, 1, [" "])]
+    items = spark.createDataFrame(rows, ITEMS)
+    assert [r[0] for r in split.oversized(items, 4).collect()] == [1]
+    true_cuts = split.stitched_cuts
+    monkeypatch.setattr(split, "stitched_cuts", lambda *a: true_cuts(*a).where("piece_no = 0"))
+    assert split.oversized(items, 4).count() == 0

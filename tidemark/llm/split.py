@@ -178,19 +178,24 @@ def with_settings(chunks: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def emitted(items: DataFrame, span: int = RANGE) -> DataFrame:
+    """All pieces of all items, by the hash of their content too: one id may have several contents."""
+    cuts = stitched_cuts(boundary_tables(items, span), "item_id", "part")
+    texts = ranges(items, span, "size").select("item_id", "part", "range_no", "stretch").dropDuplicates(["item_id", "part", "range_no"])
+    joined = cuts.join(texts.hint("merge"), ["item_id", "part", "range_no"])
+    content = F.substring("stretch", (F.col("local_start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    return joined.select("item_id", "part", "piece_no", "total_pieces", "start", "stop", (F.col("new_start") - F.col("start")).alias("overlap"), content.alias("content"))
+
+
 def oversized(items: DataFrame, span: int = RANGE) -> DataFrame:
-    """Ids of items that are not blank and longer than their limit, from the boundary tables of their ranges."""
-    per = boundary_tables(items, span).groupBy("item_id", "part").agg(F.max(F.col("range_no") * span + F.col("length")).alias("total"), F.bool_and("blank").alias("blank"), F.max("size").alias("size"))
-    return per.where("not blank and total > size").select("item_id").distinct()
+    """Ids of items that are not blank and longer than their limit: those that come out as more than one piece of text."""
+    per = emitted(items, span).where(F.length("content") > F.col("overlap")).groupBy("item_id", "part").agg(F.count("*").alias("n"))
+    return per.where("n > 1").select("item_id").distinct()
 
 
 def pieces(items: DataFrame, span: int = RANGE) -> DataFrame:
     """All pieces of all items that are not blank, in their place: piece_no, offsets, overlap and content."""
-    cuts = stitched_cuts(boundary_tables(items, span), "item_id", "part")
-    texts = ranges(items, span, "size").select("item_id", "part", "range_no", "stretch").dropDuplicates(["item_id", "part", "range_no"])
-    joined = cuts.join(texts.hint("merge"), ["item_id", "part", "range_no"])
-    content = F.substring("stretch", (F.col("local_start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
-    return joined.select("item_id", "piece_no", "total_pieces", "start", "stop", (F.col("new_start") - F.col("start")).alias("overlap"), content.alias("content"))
+    return emitted(items, span).drop("part")
 
 
 def found_oversized(chunks: DataFrame, config: DataFrame) -> DataFrame:
