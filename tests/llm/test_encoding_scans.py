@@ -208,3 +208,19 @@ def test_misreadings_in_scans_taken_for_clean(spark):
     table = spark.createDataFrame(clean + scans_, "file_id bigint, content string, is_pdf boolean, file_type string")
     got = {(r["file_id"], r["line_no"]) for r in scans.found_faults(table).where("fault = 'misread'").collect()}
     assert got == {(900 + i, 8) for i in range(30)}
+
+
+def test_models_from_all_texts(spark, monkeypatch):
+    """More texts and words than a part holds: all are counted and learnt from."""
+    monkeypatch.setattr(scans, "TRAIN_TEXTS", 3)
+    monkeypatch.setattr(scans, "TRAIN_WORDS", 10)
+    seen, judged = [], scans.judged_pages
+    monkeypatch.setattr(scans, "judged_pages", lambda files, model: seen.append(model) or judged(files, model))
+    rng = random.Random(6)
+    clean = [(i, "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(9)) + "." for _ in range(14)) + f" own{'abcdefghijklmnopqrstuvwxyz'[i]}word", False, "documentation") for i in range(24)]
+    lines = scan_text(rng)
+    lines[7] = "when the calibrati0n table rneasured quiet"
+    table = spark.createDataFrame([*clean, (900, "\n".join(lines), True, "documentation")], "file_id bigint, content string, is_pdf boolean, file_type string")
+    got = {(r["fault"], r["line_no"]) for r in scans.found_faults(table).collect()}
+    assert {n for f, n in got if f == "furniture"} == {i + 1 for i, x in enumerate(lines) if "Checking" in x} and {n for f, n in got if f == "misread"} == {8}
+    assert {f"own{'abcdefghijklmnopqrstuvwxyz'[i]}word" for i in range(24)} <= seen[0].vocabulary

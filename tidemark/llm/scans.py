@@ -8,8 +8,8 @@ last one accepts or refuses such a proposal from that score, the proposal's rank
 word so; it learns from words left out of the editor's training: those misread on purpose are to be put right, those
 that stand as they are in clean files, next to a word that one misreading would make of them, are to be left.
 
-All are fitted on the driver on bounded samples (``TRAIN_WORDS`` words, ``TRAIN_TEXTS`` texts, the first by hash); word
-counts, and the search for faults, cover all files and whole texts.
+All learn from every clean text and word: apart on parts of about ``TRAIN_TEXTS`` texts or ``TRAIN_WORDS`` words, by hash,
+whose weights are averaged. Word counts, and the search for faults, cover all files and whole texts.
 
 Defined results: null and empty contents have no faults; is_pdf marks a scan, and so does, in documentation, a form feed,
 a word broken at a line end or page numbers that count up; other files have no faults. Ties between proposals go to the
@@ -458,24 +458,102 @@ def synthetic_scan(text: str, rng: random.Random, small: bool = False) -> tuple[
     return lines, truth
 
 
-def train_furniture(texts: list[str], seed: int = 7, small: bool = False) -> dict[str, float]:
-    """The binary perceptron: furniture above 0."""
-    openers = sentence_openers(texts)
+def binary_perceptron(passes: list[list[tuple[list[str], bool]]]) -> dict[str, float]:
+    """Averaged weights of true against false, as ``Perceptron.binary`` gives them; one list of cases a pass."""
+    weights: dict[str, float] = {}
+    sums: dict[str, float] = defaultdict(float)
+    since: dict[str, int] = defaultdict(int)
+    step, get = 0, weights.get
+    for cases in passes:
+        for features, truth in cases:
+            score = 0.0
+            for f in features:
+                score += get(f, 0.0)
+            step += 1
+            if (score >= 0) != truth:
+                for f in features:
+                    now = get(f, 0.0)
+                    sums[f] += (step - since[f]) * now
+                    since[f] = step
+                    weights[f] = now + (1.0 if truth else -1.0)
+    averages = {f: round((sums[f] + (step - since[f]) * w) / max(1, step), 4) for f, w in weights.items()}
+    return {f: 2 * w for f, w in averages.items() if w}
+
+
+def train_furniture(texts: list[str], seed: int = 7, small: bool = False, openers: frozenset[str] | None = None, layouts: int = EPOCHS) -> dict[str, float]:
+    """The binary perceptron: furniture above 0. Each text is set as pages in ``layouts`` ways, over which the passes turn."""
+    openers = sentence_openers(texts) if openers is None else openers
     rng = random.Random(seed)
-    model = Perceptron()
-    for _ in range(EPOCHS):
+    made: list[list[tuple[list[str], bool]]] = []
+    for _ in range(min(layouts, EPOCHS)):
+        cases = []
         for text in texts:
             if len(text.split()) < 40:
                 continue
             lines, truth = synthetic_scan(text, rng, small)
-            for i, features in line_features(lines, openers, small).items():
-                model.learn(["bias", *features], "1" if truth[i] else "0", ("0", "1"))
-    return model.binary()
+            cases += [(["bias", *features], truth[i]) for i, features in line_features(lines, openers, small).items()]
+        made.append(cases)
+    return binary_perceptron([made[e % len(made)] for e in range(EPOCHS)])
+
+
+def _clean_words_and_openings(text: str) -> tuple[set[str], list[str]]:
+    """Small words of a text, without what may be the end of a word broken before, and how its sentences open."""
+    tokens: set[str] = set()
+    broken = False
+    for line in text.split("\n"):
+        if found := line.split():
+            tokens.update(found[1:] if broken else found)
+            broken = found[-1][-1] in HYPHENS
+    return {c.lower() for t in tokens if (c := t.strip(EDGES))}, [opening(m) for m in _OPENING.findall(text)]
+
+
+def mixed_weights(rows: DataFrame, parts: int) -> DataFrame:
+    """Weights learnt apart on equal parts of the cases, averaged: a weight a part doesn't have is 0 there."""
+    return rows.groupBy("kind", "feature", "label").agg(F.round(F.sum("weight") / parts, 6).alias("weight"))
+
+
+_WEIGHTS = "kind string, feature string, label string, weight double"
 
 
-def train_pages(texts: list[str]) -> PageModel:
-    vocabulary = frozenset(w.lower() for t in texts for w in _words_of(t))
-    return PageModel(train_furniture(texts), train_furniture(texts, small=True), sentence_openers(texts), train_joins(sorted(vocabulary)), vocabulary)
+def learnt_pages(clean: DataFrame) -> PageModel:
+    """The page model from all clean texts: words and openings are counted over all, and every text is learnt from.
+
+    Perceptrons learn apart on parts of about ``TRAIN_TEXTS`` texts, by hash, and are averaged. Each text has as many layouts
+    as make ``EPOCHS`` times ``TRAIN_TEXTS`` together, one at least. Openers are as frequent as two in ``TRAIN_TEXTS`` texts,
+    words ten times rarer at least: what is rarer may come from scans not yet told from clean texts.
+    """
+    texts = stored(spread(clean.select("content", F.xxhash64("content").alias("text_id"))))
+    total = texts.select("text_id").distinct().count()
+    parts = max(1, math.ceil(total / TRAIN_TEXTS))
+    layouts = max(1, min(EPOCHS, math.ceil(EPOCHS * TRAIN_TEXTS / max(1, total))))
+    sharded = texts.withColumn("part", F.pmod(F.xxhash64("text_id"), F.lit(parts)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, openings = Counter(), Counter()
+            for text in batch["content"]:
+                mine, opens = _clean_words_and_openings(text)
+                words.update(mine)
+                openings.update(opens)
+            for kind, counts in (("word", words), ("opener", openings)):
+                yield pd.DataFrame([(kind, k, n) for k, n in counts.items()], columns=["kind", "feature", "n"])
+
+    each = distinct_texts(texts.withColumn("scan", F.lit(False))).select("content")
+    counts = each.mapInPandas(count, "kind string, feature string, n bigint").groupBy("kind", "feature").agg(F.sum("n").alias("n"))
+    least = F.when(F.col("kind") == "word", F.lit(total / (10 * TRAIN_TEXTS))).otherwise(F.lit(max(2.0, 2 * total / TRAIN_TEXTS)))
+    known = counts.where(F.col("n") >= least).select("kind", "feature").collect()  # bounded: rarer ones are left out by their share
+    openers = frozenset(r["feature"] for r in known if r["kind"] == "opener")
+    vocabulary = frozenset(r["feature"] for r in known if r["kind"] == "word")
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        mine = list(part.drop_duplicates("text_id").sort_values("text_id")["content"])
+        rows = [(kind, f, "", w) for kind in ("large", "small") for f, w in train_furniture(mine, 7 + int(key[0]), kind == "small", openers, layouts).items()]
+        return pd.DataFrame(rows, columns=["kind", "feature", "label", "weight"])
+
+    weights: dict[str, dict[str, float]] = {"large": {}, "small": {}}
+    for r in mixed_weights(sharded.groupBy("part").applyInPandas(learn, _WEIGHTS), parts).collect():
+        weights[r["kind"]][r["feature"]] = r["weight"]
+    return PageModel(weights["large"], weights["small"], openers, train_joins(sorted(vocabulary)), vocabulary)
 
 
 def furniture_lines(lines: list[str], model: PageModel) -> set[int]:
@@ -507,13 +585,22 @@ def _join_features(last: str, first: str, vocabulary: frozenset[str], without: s
 
 def train_joins(words: list[str], seed: int = 7) -> dict[str, float]:
     """The binary perceptron: above 0 the word goes on. Words are cut anywhere, half of them left out of the vocabulary;
-    against them stand whole words with a hyphen before other whole words, figures, signs and dashes."""
+    against them stand whole words with a hyphen before other whole words, figures, signs and dashes. Beyond ``TRAIN_WORDS``
+    words they are learnt in parts and averaged."""
     rng = random.Random(seed)
-    model = Perceptron()
     words = [w for w in words if w.replace("-", "").isalpha() and len(w) >= 4]
     rng.shuffle(words)
-    words = words[:TRAIN_WORDS]
     everything = frozenset(words)
+    parts = max(1, math.ceil(len(words) / TRAIN_WORDS))
+    mixed: dict[str, float] = defaultdict(float)
+    for k in range(parts):
+        for f, w in _joins_of(words[k::parts], everything, rng).items():
+            mixed[f] += w / parts
+    return dict(mixed)
+
+
+def _joins_of(words: list[str], everything: frozenset[str], rng: random.Random) -> dict[str, float]:
+    model = Perceptron()
     for _ in range(EPOCHS if len(words) > 1 else 0):
         for w in words:
             other = rng.choice(words)
@@ -753,6 +840,17 @@ def train_acceptance(sample: list[str], lexicon: DataFrame, editor: Editor, seed
     """The binary perceptron: above 0 a proposal is right. From words the editor hasn't seen, misread on purpose, and the
     same words as they are, which have themselves left out of the clean ones."""
     rng = random.Random(seed)
+    truth = _acceptance_cases(sample, rng)
+    cases = lexicon.sparkSession.createDataFrame(list(truth), "string").select(F.col("value").alias("word"), F.lit(1).cast("bigint").alias("n"))
+    rows = proposals(cases, lexicon, editor).where(_PROPOSES).select(*_JUDGED).collect()  # of the words given
+    model = _accepting([(*r, truth[r[0]]) for r in rows], rng)
+    return model.binary()
+
+
+_PROPOSES, _JUDGED = "changed and lower(fixed) <> lower(word)", ["word", "fixed", "margin", "rank", "n_clean"]
+
+
+def _acceptance_cases(sample: list[str], rng: random.Random) -> dict[str, str]:
     truth: dict[str, str] = {}
     sample = [w.upper() if any(c.isdigit() for c in w) else w for w in sample]  # codes mostly stand in capitals
     for word in sample:
@@ -761,18 +859,58 @@ def train_acceptance(sample: list[str], lexicon: DataFrame, editor: Editor, seed
                 truth[made[0]] = word
     for word in sample:
         truth[word] = ""  # nothing is right but the word itself
-    spark = lexicon.sparkSession
-    cases = spark.createDataFrame(list(dict.fromkeys(truth)), "string").select(F.col("value").alias("word"), F.lit(1).cast("bigint").alias("n"))
-    rows = proposals(cases, lexicon, editor).where("changed and lower(fixed) <> lower(word)").collect()  # of a bounded sample
-    rows.sort()
+    return truth
+
+
+def _accepting(rows: list[tuple], rng: random.Random) -> Perceptron:
+    rows = sorted(rows)
     model = Perceptron()
     for _ in range(EPOCHS):
         rng.shuffle(rows)
-        for r in rows:
-            features = _accept_features(r["word"], r["fixed"], r["margin"], r["rank"], rng.randint(1, 3), r["n_clean"])
-            right = truth[r["word"]] == r["fixed"]
-            model.learn(features, "1" if right else "0", ("0", "1"), MARGIN if right or any(c.isdigit() for c in r["fixed"]) else 0.0)  # few words of scans, but many codes, are unknown and right
-    return model.binary()
+        for word, fixed, margin, rank, n_clean, right_one in rows:
+            features = _accept_features(word, fixed, margin, rank, rng.randint(1, 3), n_clean)
+            right = right_one == fixed
+            model.learn(features, "1" if right else "0", ("0", "1"), MARGIN if right or any(c.isdigit() for c in fixed) else 0.0)  # few words of scans, but many codes, are unknown and right
+    return model
+
+
+def learnt_acceptance(words: DataFrame, lexicon: DataFrame, editor: Editor) -> dict[str, float]:
+    """As ``train_acceptance``, from words of any number: in parts of about ``TRAIN_WORDS``, by hash, and averaged."""
+    parts, hashed = _in_parts(words)
+
+    def make(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        truth = _acceptance_cases(list(part.sort_values(["h", "word"])["word"]), random.Random(7 + int(key[0])))
+        return pd.DataFrame([(key[0], w, t) for w, t in truth.items()], columns=["part", "word", "truth"])
+
+    cases = stored(hashed.groupBy("part").applyInPandas(make, "part bigint, word string, truth string"))
+    asked = cases.select("word").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    rows = proposals(asked, lexicon, editor).where(_PROPOSES).select(*_JUDGED).join(cases.hint("merge"), "word")
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        model = _accepting(list(part[[*_JUDGED, "truth"]].itertuples(index=False, name=None)), random.Random(8 + int(key[0])))
+        return pd.DataFrame([("", f, "", w) for f, w in model.binary().items()], columns=["kind", "feature", "label", "weight"])
+
+    return {r["feature"]: r["weight"] for r in mixed_weights(rows.groupBy("part").applyInPandas(learn, _WEIGHTS), parts).collect()}
+
+
+def learnt_editor(words: DataFrame) -> Editor:
+    """As ``train_editor``, from words of any number: in parts of about ``TRAIN_WORDS``, by hash, and averaged."""
+    parts, hashed = _in_parts(words)
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        weights = train_editor(list(part.sort_values(["h", "word"])["word"])).weights
+        return pd.DataFrame([("", f, label, w) for f, row in weights.items() for label, w in row.items()], columns=["kind", "feature", "label", "weight"])
+
+    editor = train_editor([])
+    for r in mixed_weights(hashed.groupBy("part").applyInPandas(learn, _WEIGHTS), parts).collect():
+        editor.weights.setdefault(r["feature"], {})[r["label"]] = r["weight"]
+    return editor
+
+
+def _in_parts(words: DataFrame) -> tuple[int, DataFrame]:
+    hashed = stored(words.select("word", F.xxhash64("word").alias("h")))
+    parts = max(1, math.ceil(hashed.count() / TRAIN_WORDS))
+    return parts, hashed.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("bigint"))
 
 
 def corrections(words: DataFrame, lexicon: DataFrame, editor: Editor, accept: dict[str, float]) -> DataFrame:
@@ -806,31 +944,22 @@ def corrections(words: DataFrame, lexicon: DataFrame, editor: Editor, accept: di
     return stored(judged.groupBy("word").agg(best.alias("b")).select("word", "b.*"))
 
 
-def bounded_sample(rows: DataFrame, key: str, value: str, total: int, n: int) -> list[str]:
-    """At most n values, the first by hash of the key; thinned by hash first, so that few more than n rows travel."""
-    thin = max(1, total // (8 * n))
-    h = F.xxhash64(key)
-    some = rows.where(F.pmod(h, F.lit(thin)) == 0).select(value, h.alias("_h")).orderBy("_h", value).limit(n)
-    return [r[0] for r in some.collect()]
-
-
 def word_models(lexicon: DataFrame, doubted: DataFrame) -> tuple[Editor, dict[str, float]]:
-    """The editor and what accepts its proposals, from two samples of the clean words that are not in doubt."""
+    """The editor and what accepts its proposals, from two halves of all clean words that are not in doubt."""
     sure = lexicon.join(doubted, "word", "left_anti")
     half = F.pmod(F.xxhash64("word", F.lit(3)), F.lit(2))
     learnable = sure.where(F.col("word").rlike(r"^[\p{L}'’-]{2,60}$") & (F.col("n_clean") >= 2) & (half == 0))
-    editor = train_editor(bounded_sample(learnable, "word", "word", learnable.count(), TRAIN_WORDS))
+    editor = learnt_editor(learnable)
     # codes and rare words are among those to leave alone
     other = sure.where((half == 1) & (F.length("word") <= LONG) & _fits(F.col("word")))
-    return editor, train_acceptance(bounded_sample(other, "word", "word", other.count(), TRAIN_WORDS), lexicon, editor)
+    return editor, learnt_acceptance(other, lexicon, editor)
 
 
 def models(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Judged pages, and the fixes of words of scans that clean files do not know."""
     candidates = files.where("not coalesce(is_pdf, false) and file_type = 'documentation'")
     clean = candidates.where("content is not null").where(~F.col("content").contains("\f"))
-    model = train_pages(bounded_sample(clean, "file_id", "content", candidates.count(), TRAIN_TEXTS))
-    pages = judged_pages(files, model)
+    pages = judged_pages(files, learnt_pages(clean))
     lexicon = stored(clean_words(pages))
     asked = asked_words(pages, lexicon)
     doubted = asked.where("n_own > 0").select(F.lower("word").alias("word")).distinct()
