@@ -716,7 +716,7 @@ def _tokens(text: Column) -> Column:
 
 def distinct_texts(pages: DataFrame) -> DataFrame:
     """One row a text, whatever its copies; only texts that have copies are shuffled."""
-    again = pages.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id")
+    again = stored(pages.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id"))  # then its size is known
     return pages.join(again, "text_id", "left_anti").unionByName(pages.join(again, "text_id", "left_semi").dropDuplicates(["text_id", "scan"]))
 
 
