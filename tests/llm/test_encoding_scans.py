@@ -1,4 +1,5 @@
 import random
+import re
 
 from tidemark.llm import encoding as en
 from tidemark.llm import scans
@@ -224,3 +225,39 @@ def test_models_from_all_texts(spark, monkeypatch):
     got = {(r["fault"], r["line_no"]) for r in scans.found_faults(table).collect()}
     assert {n for f, n in got if f == "furniture"} == {i + 1 for i, x in enumerate(lines) if "Checking" in x} and {n for f, n in got if f == "misread"} == {8}
     assert {f"own{'abcdefghijklmnopqrstuvwxyz'[i]}word" for i in range(24)} <= seen[0].vocabulary
+
+
+def test_pages_are_set_once(monkeypatch):
+    """Both perceptrons of lines learn from one setting of a text; only its heads lose their capitals for the second."""
+    rng = random.Random(6)
+    texts = ["\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(9)) + "." for _ in range(14)) for _ in range(20)]
+    made, made_by = [], scans.synthetic_scan
+    monkeypatch.setattr(scans, "synthetic_scan", lambda *a: made.append(made_by(*a)) or made[-1])
+    large, small = scans.train_furniture(texts, 7, frozenset(), 1)
+    assert len(made) == len(texts) and large and small
+    for lines, truth, smalls in made:
+        assert [x.lower() for x in lines] == [x.lower() for x in smalls] and all(t for x, y, t in zip(lines, smalls, truth) if x != y)
+        assert scans._prepared_small(scans._prepared(lines), lines, smalls) == scans._prepared(smalls)
+    assert any(lines != smalls for lines, _, smalls in made)
+
+
+def test_folded_lines_as_by_one_pattern():
+    fold = str.maketrans("|0156@iefhqy", "lolsbalctbgv")
+    for text in ("12a 3b3 ²½x ٣٤ a٣ 5_5 İstanbul ΑΣ\n|0156@iefhqyz, rn-cl. (vv) a1 1 22b", "Checking 12 / 14 off5et\n\n7"):
+        want = re.sub(r"(?<![^\W\d_])\d+(?![^\W\d_])|[^\w|@\n]+", "", text.lower()).translate(fold)
+        for a, b in scans._FOLD_TWO:
+            want = want.replace(a, b)
+        assert scans.line_keys(text) == want.split("\n")
+
+
+def test_words_left_out_before_joins(spark):
+    """Of the words of scans those that a join asks for all stay, with their lines, and hardly another, however many there are."""
+    words = [f"word{'abcdefghij'[k % 10]}{k}" for k in range(3000)]
+    text = "\n".join(" ".join(words[k : k + 10]) for k in range(0, 3000, 10)) + "\nÜber"
+    files_ = spark.createDataFrame([(1, text, True, "documentation")], "file_id bigint, content string, is_pdf boolean, file_type string")
+    pages = scans.judged_pages(files_, scans.PageModel({"bias": -1.0}, {"bias": -1.0}, frozenset(), {"bias": 1.0}, frozenset()))
+    among = spark.createDataFrame([(w,) for w in [*words[::100], "Über", "absent"]], "word string")
+    every = {(r["word"], r["lines"]) for r in scans.scan_words(pages).collect()}
+    got = {(r["word"], r["lines"]) for r in scans.scan_words(pages, among).collect()}
+    want = {x for x in every if x[0] in {*words[::100], "Über"}}
+    assert len(every) == 3001 and len(want) == 31 and want <= got <= every and len(got) < 40

@@ -21,11 +21,16 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 from typing import NamedTuple
+from zlib import crc32
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,7 @@ from tidemark.session import spread, stored, widened
 
 TRAIN_WORDS, TRAIN_TEXTS, EPOCHS, BEAM, MARGIN = 6000, 300, 4, 16, 20.0
 DOUBT = 4  # times as common in scans as in clean texts: not known from these
+WORD_BITS = 1 << 23  # of the tables that say which words a join may keep
 LONG = 60  # characters from which edits of a word are found by halves, with the same result
 EDGES = ".,;:!?\"“”„«»()[]{}¡¿…'’‘·/<>*#=+~—–"
 HYPHENS = "-‐‑¬­"
@@ -121,9 +127,15 @@ class Editor:
     def __init__(self, model: Perceptron, options: dict[str, list[str]]) -> None:
         self.weights, self.options = model.weights, options
         self.model = model
+        self._word, self._known = "", {}
 
     def _scores(self, word: str, i: int) -> dict[str, float]:
-        return self.model.scores(_features(word, i), self.options[word[i]])
+        """Kept for the word asked for last: its beam and its single edits ask for the same places."""
+        if word != self._word:
+            self._word, self._known = word, {}
+        if i not in self._known:
+            self._known[i] = self.model.scores(_features(word, i), self.options[word[i]])
+        return self._known[i]
 
     def _after(self, before: str, c: str, label: str) -> float:
         return self.weights.get("9" + before + c, _EMPTY).get(label, 0.0)
@@ -146,12 +158,14 @@ class Editor:
                 plain_before = "="
                 continue
             base = self._scores(word, i)
+            ways = [(label, s, label[0] == "R" or label == "-" and c not in HYPHENS) for label, s in base.items()]
+            after = {before: self.weights.get("9" + before + c, _EMPTY) for before in {p[1] for p in paths}}
             nxt = []
             for score, before, changed, edits in paths:
-                for label, s in base.items():
-                    touches = changed or label[0] == "R" or label == "-" and c not in HYPHENS
-                    nxt.append((score + s + self._after(before, c, label), label, touches, edits if label == "=" else (edits, i, label)))
-            nxt.sort(key=lambda x: -x[0])
+                add = after[before]
+                for label, s, touches in ways:
+                    nxt.append((score + s + add.get(label, 0.0), label, changed or touches, edits if label == "=" else (edits, i, label)))
+            nxt.sort(key=itemgetter(0), reverse=True)
             paths = nxt[:BEAM]
             still = {k: s + self._after(plain_before, c, k) for k, s in base.items() if k in "=J" or k == "-" and c in HYPHENS}
             label = max(still, key=still.get)
@@ -254,15 +268,17 @@ _CLOSES_NUMBER = frozenset("lI|oOivxcIVXC])-–—~•·*")
 _NOT_LAST = frozenset(".!?;,:" + HYPHENS)
 _BARE = re.compile(rf"(?P<a>{_N}|[ivxlc]{{1,7}})")
 _HEADING = re.compile(r"\d+(?:\.\d+)+\s|#")
-_SENTENCES = re.compile(r"[^\W\d_]{4,}[.!?] [^\W\d_]")
+_SENTENCES = re.compile(r"[.!?](?<=[^\W\d_]{4}.) [^\W\d_]")
 _COLUMNS = re.compile(r"\S {2,}\S.* {2,}\S")
 _RULE = re.compile(r"[-=_*·.\s]+")
 _MAYBE_PAGES = re.compile(r"(?m)^\W{0,4}(?:[A-Za-zá]{1,6}\.?\s)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur|из)\s*\d+)?\W{0,4}$")
-_MAYBE_BREAK = re.compile(rf"[^\W\d_][{HYPHENS}][ \t\r]*\n")
+_MAYBE_BREAK = re.compile(rf"[{HYPHENS}](?<=[^\W\d_].)[ \t\r]*\n")
+_MAYBE_CUT = re.compile(rf"[{HYPHENS}]\s*\n")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-_FOLD_ONE = str.maketrans("|0156@iefhqyz", "lolsbalctbgvz")
+_FOLD_ONE = tuple(zip("|0156@iefhqy", "lolsbalctbgv"))  # no result is itself folded, so one after the other is as all at once
 _FOLD_TWO = (("rn", "m"), ("cl", "d"), ("ll", "u"), ("vv", "w"), ("rl", "n"), ("ln", "m"), ("lb", "b"))
-_NO_NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])|[^\w|@\n]+")
+_NUMBER = re.compile(r"\d(?<![^\W\d_]\d)\d*(?![^\W\d_])")
+_FOLDED = re.compile(r"[\w|@\n]+")
 
 
 def _value(text: str) -> int:
@@ -279,8 +295,11 @@ def _value(text: str) -> int:
 
 def line_keys(text: str) -> list[str]:
     """Each line without its numbers, misreadings folded, so that running heads of all pages agree."""
-    text = _NO_NUMBER.sub("", text.lower()).translate(_FOLD_ONE)
-    for a, b in _FOLD_TWO:
+    text = _NUMBER.sub("", text.lower())
+    for c in " .,-":  # the pattern leaves these out, too, but slowly
+        text = text.replace(c, "")
+    text = "".join(_FOLDED.findall(text))
+    for a, b in (*_FOLD_ONE, *_FOLD_TWO):
         text = text.replace(a, b)
     return text.split("\n")
 
@@ -296,7 +315,7 @@ class PageModel(NamedTuple):
     vocabulary: frozenset[str]
 
 
-_OPENING = re.compile(r"[^\W\d_]{3}[.!?][\"”»]? ([^\s#*-]\S* \S+)")
+_OPENING = re.compile(r"[.!?](?<=[^\W\d_]{3}.)[\"”»]? ([^\s#*-]\S* \S+)")
 
 
 def opening(text: str) -> str:
@@ -309,25 +328,41 @@ def sentence_openers(texts: list[str]) -> frozenset[str]:
     return frozenset(k for k, n in counts.items() if n > 1)
 
 
+def _page_number(x: str) -> tuple[str, int] | None:
+    """Form and value of a line that is a page number, if its last character may end one."""
+    if m := _DECORATED.fullmatch(x):
+        return re.sub(r"\d+|(?<![a-zà-ÿ])[ivxlc]+(?![a-zà-ÿ])", "#", x.lower()), _value(m["a"] or m["b"] or m["c"])
+    if m := _BARE.fullmatch(x):
+        return "digits" if any(c.isdigit() for c in x) else "roman", _value(m["a"])
+    return None
+
+
 def _prepared(lines: list[str]) -> tuple:
     """What both looks at the lines share: stripped lines, page numbers and their forms, lines with text and their places,
-    folded lines, and the length of a full line."""
+    folded lines, the length of a full line, and the lines that begin or end a page by a form feed."""
     bare = [x.strip("\f \t\r") for x in lines]
     numbers: dict[int, tuple[str, int]] = {}
     for i, x in enumerate(bare):
-        if x and (x[-1] in _CLOSES_NUMBER or x[-1].isdigit()):
-            if m := _DECORATED.fullmatch(x):
-                numbers[i] = (re.sub(r"\d+|(?<![a-zà-ÿ])[ivxlc]+(?![a-zà-ÿ])", "#", x.lower()), _value(m["a"] or m["b"] or m["c"]))
-            elif m := _BARE.fullmatch(x):
-                numbers[i] = ("digits" if any(c.isdigit() for c in x) else "roman", _value(m["a"]))
+        if x and (x[-1] in _CLOSES_NUMBER or x[-1].isdigit()) and (number := _page_number(x)):
+            numbers[i] = number
     forms: dict[str, set[int]] = defaultdict(set)
     for form, value in numbers.values():
         forms[form].add(value)
     texts = [i for i, x in enumerate(bare) if x]
     place = {i: k for k, i in enumerate(texts)}
     folded = line_keys("\n".join(lines))
-    lengths = sorted(len(x) for x in bare if x)
-    return bare, numbers, forms, texts, place, folded, lengths[int(len(lengths) * 0.8)] if lengths else 0
+    lengths = sorted(len(bare[i]) for i in texts)
+    feeds = {j for i, x in enumerate(lines) if "\f" in x for j in (i - 1, i)}
+    return bare, numbers, forms, texts, place, folded, lengths[int(len(lengths) * 0.8)] if lengths else 0, feeds
+
+
+def _prepared_small(prepared: tuple, lines: list[str], small: list[str]) -> tuple:
+    """``_prepared(small)``, of lines that differ from ``lines`` by small letters only."""
+    bare, numbers, *rest = prepared
+    changed = {i: b.strip("\f \t\r") for i, (a, b) in enumerate(zip(lines, small)) if a != b}
+    if any(i in numbers or len(x) != len(bare[i]) or x and _page_number(x) for i, x in changed.items()):
+        return _prepared(small)
+    return [changed.get(i, x) for i, x in enumerate(bare)] if changed else bare, numbers, *rest
 
 
 def line_features(lines: list[str], openers: frozenset[str] = frozenset(), small: bool = False, prepared: tuple | None = None) -> dict[int, list[str]]:
@@ -336,52 +371,53 @@ def line_features(lines: list[str], openers: frozenset[str] = frozenset(), small
     Page numbers and lines that begin with a capital or a figure, or if ``small`` lines that begin with a small letter:
     most of these are text, so another perceptron judges them.
     """
-    bare, numbers, forms, texts, place, folded, full = prepared or _prepared(lines)
-    keys = {i: folded[i] for i, x in enumerate(bare) if x and i not in numbers and (x[0].islower() if small else x[0].isupper() or x[0].isdigit()) and x[-1] not in _NOT_LAST}
+    bare, numbers, forms, texts, place, folded, full, feeds = prepared or _prepared(lines)
+    if small:
+        keys = {i: folded[i] for i in texts if (x := bare[i])[0].islower() and x[-1] not in _NOT_LAST and i not in numbers}
+    else:
+        keys = {i: folded[i] for i in texts if ((x := bare[i])[0].isupper() or x[0].isdigit()) and x[-1] not in _NOT_LAST and i not in numbers}
     if small and not keys:
         return {}
     counts = Counter(k for k in keys.values() if len(k) >= 6)
-    edge = lambda i: "\f" in lines[i] or (i + 1 < len(lines) and "\f" in lines[i + 1])
     near: Counter = Counter()
-    for i, k in keys.items():
+    stands: dict[str, list[int]] = defaultdict(list)
+    for i, k in keys.items() if len(counts) < counts.total() else ():
         if counts[k] > 1:
             at = place[i]
             beside = [texts[j] for j in (at - 1, at + 1) if 0 <= j < len(texts)]
-            near[k] += any(j in numbers for j in beside) or edge(i)
-    stands: dict[str, list[int]] = defaultdict(list)
-    for i, k in keys.items():
-        if counts[k] > 1:
-            stands[k].append(place[i])
+            near[k] += any(j in numbers for j in beside) or i in feeds
+            stands[k].append(at)
     spaced = {}
     for k, at in stands.items():
         gaps = [b - a for a, b in zip(at, at[1:])]
         spaced[k] = "two" if len(gaps) < 2 else "even" if max(gaps) <= 2 * min(gaps) else "uneven"
     out: dict[int, list[str]] = {}
-    for i, x in ((i, bare[i]) for i in keys) if small else enumerate(bare):
-        if not x:
-            continue
+    for i in keys if small else sorted({*keys, *numbers}):
+        x = bare[i]
         if i in numbers:
             form, value = numbers[i]
             kind = form if form in ("digits", "roman") else "decorated"
             counting = value + 1 in forms[form] or value - 1 in forms[form]
             at = place[i]
             beside = [texts[j] for j in (at - 1, at + 1) if 0 <= j < len(texts)]
-            alone = i in (texts[0], texts[-1]) or edge(i) or not bare[i - 1] or (i + 1 < len(bare) and not bare[i + 1]) or any(counts[keys.get(j, "")] > 1 for j in beside)
+            alone = i in (texts[0], texts[-1]) or i in feeds or not bare[i - 1] or (i + 1 < len(bare) and not bare[i + 1]) or any(counts[keys.get(j, "")] > 1 for j in beside)
             out[i] = [f"number {kind}", f"number {kind} counting {counting}", f"number {kind} alone {alone}", f"number counting {counting} alone {alone}"]
             continue
-        if (k := keys.get(i)) is None:
-            continue
+        k = keys[i]
         n = counts[k]
         at = place[i]
         before, after = texts[at - 1] if at else -1, texts[at + 1] if at + 1 < len(texts) else -1
+        aside = n < 2 and not (before in numbers or after in numbers or i in feeds)
+        if aside and (not at or bare[before][-1] not in HYPHENS):
+            continue
         left = next((bare[texts[j]] for j in range(at - 1, max(-1, at - 4), -1) if texts[j] not in numbers), "")
         broken = len(left) > 1 and left[-1] in HYPHENS and left[-2].isalpha()
-        if n < 2 and not (before in numbers or after in numbers or edge(i) or broken):
+        if aside and not broken:
             continue
         table = x[-2:] == "ok" and bool(_COLUMNS.search(x)) or bool(_RULE.fullmatch(x))
         sentence = bool(_SENTENCES.search(x))
         shape = "prose" if x.count(" ") > 2 and opening(x) in openers else "heading" if _HEADING.match(x) else "table" if table else "sentence" if sentence else "long title" if len(x) >= 0.9 * full else "title"
-        feed = "feed" if edge(i) else "none"
+        feed = "feed" if i in feeds else "none"
         if n < 2:
             right = next((bare[texts[j]] for j in range(at + 1, min(len(texts), at + 4)) if texts[j] not in numbers), "")
             amid = bool(left) and left[-1] not in ".!?:" and right[:1].islower()
@@ -399,8 +435,8 @@ def counting_pages(lines: list[str]) -> bool:
     return sum("counting True" in f[1] for f in line_features(lines).values() if f[0].startswith("number")) >= 2
 
 
-def synthetic_scan(text: str, rng: random.Random, small: bool = False) -> tuple[list[str], list[bool]]:
-    """Clean text set as pages of one layout, its heads without capitals if ``small``, and which lines are furniture."""
+def synthetic_scan(text: str, rng: random.Random) -> tuple[list[str], list[bool], list[str]]:
+    """Clean text set as pages of one layout, which lines are furniture, and the lines again with heads without capitals."""
     words = text.split()
     width, per_page = rng.randint(45, 80), rng.randint(8, 30)
     body: list[str] = []
@@ -423,39 +459,39 @@ def synthetic_scan(text: str, rng: random.Random, small: bool = False) -> tuple[
                 body.extend(f"{rng.randint(1, 50)}  {rng.choice(words)}  {rng.random() * 90:.1f}  ok" for _ in range(3))
             if rng.random() < 0.03:
                 body.append(rng.choice(("It works.", "locked.", "again.", "without input.")))
-        line = f"{line} {w}".strip()
+        line = f"{line} {w}" if line else w
     body.append(line)
     title = " ".join(w.strip(".,;:!?") for w in rng.sample(words, min(rng.randint(3, 8), len(words)))).capitalize() + rng.choice(("", " handbook", " — Rev B", " / A / internal"))
     if rng.random() < 0.25:
         title = title.upper()
-    if small:
-        title = title.lower()
     head, foot = rng.choice((None, "{t}", "{t}", "{t} · {s}", "{s}", "{n}    {t}", "{t}  |  {n}", "{n}")), rng.choice((None, "Page {n}", "{n}", "- {n} -", "[{n}]", "{n} / {m}", "p. {n}", "~ {n} ~", "{r}"))
     first, blank, feed = rng.randint(1, 15), rng.random() < 0.5, rng.random() < 0.5
     pages = [body[i : i + per_page] for i in range(0, len(body), per_page)]
-    lines, truth = [], []
+    lines, truth, smalls = [], [], []
 
-    def put(x: str, is_furniture: bool) -> None:
+    def put(x: str, is_furniture: bool, small: str | None = None) -> None:
         lines.append(x)
         truth.append(is_furniture)
+        smalls.append(x if small is None else small)
 
     roman = lambda n: "x" * (n // 10) + ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")[n % 10]
     for k, page in enumerate(pages):
-        say = lambda form, n=first + k: form.format(t=title, s=sections[0], n=n, m=first + len(pages), r=roman(n))
+        say = lambda form, t=title, n=first + k: form.format(t=t, s=sections[0], n=n, m=first + len(pages), r=roman(n))
         start = len(lines)
         if head and rng.random() < 0.95:
-            put(say(head), True)
+            put(say(head), True, say(head, title.lower()))
             if blank:
                 put("", False)
-        for x in page:
-            put(x, False)
+        lines += page
+        smalls += page
+        truth += [False] * len(page)
         if foot and rng.random() < 0.95:
             if blank:
                 put("", False)
             put(say(foot), True)
         if feed and k and start < len(lines):
-            lines[start] = "\f" + lines[start]
-    return lines, truth
+            lines[start], smalls[start] = "\f" + lines[start], "\f" + smalls[start]
+    return lines, truth, smalls
 
 
 def binary_perceptron(passes: list[list[tuple[list[str], bool]]]) -> dict[str, float]:
@@ -480,27 +516,31 @@ def binary_perceptron(passes: list[list[tuple[list[str], bool]]]) -> dict[str, f
     return {f: 2 * w for f, w in averages.items() if w}
 
 
-def train_furniture(texts: list[str], seed: int = 7, small: bool = False, openers: frozenset[str] | None = None, layouts: int = EPOCHS) -> dict[str, float]:
-    """The binary perceptron: furniture above 0. Each text is set as pages in ``layouts`` ways, over which the passes turn."""
+def train_furniture(texts: list[str], seed: int = 7, openers: frozenset[str] | None = None, layouts: int = EPOCHS) -> tuple[dict[str, float], dict[str, float]]:
+    """The binary perceptrons, of lines and of those that begin small: furniture above 0. Each text is set as pages in
+    ``layouts`` ways, over which the passes turn; both learn from the same pages."""
     openers = sentence_openers(texts) if openers is None else openers
     rng = random.Random(seed)
-    made: list[list[tuple[list[str], bool]]] = []
+    large: list[list[tuple[list[str], bool]]] = []
+    small: list[list[tuple[list[str], bool]]] = []
     for _ in range(min(layouts, EPOCHS)):
-        cases = []
+        large.append([])
+        small.append([])
         for text in texts:
             if len(text.split()) < 40:
                 continue
-            lines, truth = synthetic_scan(text, rng, small)
-            cases += [(["bias", *features], truth[i]) for i, features in line_features(lines, openers, small).items()]
-        made.append(cases)
-    return binary_perceptron([made[e % len(made)] for e in range(EPOCHS)])
+            lines, truth, smalls = synthetic_scan(text, rng)
+            prepared = _prepared(lines)
+            large[-1] += [(["bias", *features], truth[i]) for i, features in line_features(lines, openers, False, prepared).items()]
+            small[-1] += [(["bias", *features], truth[i]) for i, features in line_features(smalls, openers, True, _prepared_small(prepared, lines, smalls)).items()]
+    return tuple(binary_perceptron([made[e % len(made)] for e in range(EPOCHS)]) for made in (large, small))
 
 
 def _clean_words_and_openings(text: str) -> tuple[set[str], list[str]]:
     """Small words of a text, without what may be the end of a word broken before, and how its sentences open."""
     tokens: set[str] = set()
     broken = False
-    for line in text.split("\n"):
+    for line in text.split("\n") if _MAYBE_CUT.search(text) else (text,):
         if found := line.split():
             tokens.update(found[1:] if broken else found)
             broken = found[-1][-1] in HYPHENS
@@ -547,7 +587,7 @@ def learnt_pages(clean: DataFrame) -> PageModel:
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         mine = list(part.drop_duplicates("text_id").sort_values("text_id")["content"])
-        rows = [(kind, f, "", w) for kind in ("large", "small") for f, w in train_furniture(mine, 7 + int(key[0]), kind == "small", openers, layouts).items()]
+        rows = [(kind, f, "", w) for kind, weights in zip(("large", "small"), train_furniture(mine, 7 + int(key[0]), openers, layouts)) for f, w in weights.items()]
         return pd.DataFrame(rows, columns=["kind", "feature", "label", "weight"])
 
     weights: dict[str, dict[str, float]] = {"large": {}, "small": {}}
@@ -654,14 +694,14 @@ def _words_of(content: str) -> set[str]:
     return {c for t in set(content.split()) if (c := t.strip(EDGES))}
 
 
-_PAGES = "file_id bigint, text_id bigint, content string, scan boolean, furniture array<int>, breaks array<struct<line: int, next: int, word: string>>, words array<string>"
-_RARE_SPACE = r"[\t\x0b\f\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_PAGES = "file_id bigint, text_id bigint, content string, scan boolean, furniture array<int>, breaks array<struct<line: int, next: int, word: string>>, words string"
 
 
-def _placed_words(lines: list[str], furniture: set[int], breaks: dict[int, tuple[str, int]]) -> list[str]:
-    """Words without furniture and without the parts of words over two lines, each with its lines, counted from 1."""
+def _placed_words(lines: list[str], furniture: set[int], breaks: dict[int, tuple[str, int]]) -> str:
+    """Words without furniture and without the parts of words over two lines, a row each: the word, a tab and its lines,
+    counted from 1."""
     begun = {j for _, j in breaks.values()}
-    where: dict[str, list[str]] = {}
+    where: dict[str, str] = {}
     for i, x in enumerate(lines):
         if i in furniture:
             continue
@@ -670,26 +710,19 @@ def _placed_words(lines: list[str], furniture: set[int], breaks: dict[int, tuple
             del tokens[-1:]
         if i in begun:
             del tokens[:1]
-        at = str(i + 1)
+        at = f",{i + 1}"
         for t in tokens:
-            if t in where:
-                where[t].append(at)
-            else:
-                where[t] = [at]
-    merged: dict[str, list[str]] = {}
+            where[t] = where[t] + at if t in where else at
+    merged: dict[str, str] = {}
     for t, at in where.items():
         if c := t.strip(EDGES):
-            if c in merged:
-                merged[c] += at
-            else:
-                merged[c] = at
-    return [f"{w}\t{','.join(at)}" for w, at in merged.items()]
+            merged[c] = merged[c] + at if c in merged else at
+    return "\n".join([f"{w}\t{at[1:]}" for w, at in merged.items()])
 
 
 def judged_pages(files: DataFrame, model: PageModel) -> DataFrame:
     """Every text read once by Python: whether it is a scan, its furniture lines, its words over two lines, and its other
-    words, each with the lines it stands on behind a tab (one string a word crosses to the JVM at a fraction of the cost
-    of nested arrays)."""
+    words with the lines they stand on, as one string (it crosses to the JVM at a fraction of the cost of arrays)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -701,19 +734,13 @@ def judged_pages(files: DataFrame, model: PageModel) -> DataFrame:
                 found = line_breaks(lines, gone, model) if scan[-1] else {}
                 furniture.append(sorted(gone))
                 breaks.append([(i, j, w) for i, (w, j) in found.items()])
-                words.append(_placed_words(lines, gone, found) if scan[-1] else [])
+                words.append(_placed_words(lines, gone, found) if scan[-1] else "")
             yield batch[["file_id", "text_id", "content"]].assign(scan=scan, furniture=furniture, breaks=breaks, words=words)
 
     slim = files.where("content <> ''").select("file_id", "content", "is_pdf", "file_type", F.xxhash64("content").alias("text_id"))
     return stored(spread(slim).mapInPandas(work, _PAGES))
 
 
-def _tokens(text: Column) -> Column:
-    """Split at white space of any kind; splitting at single blanks is much cheaper than at a pattern."""
-    plain = F.when(text.rlike(_RARE_SPACE), F.regexp_replace(text, _RARE_SPACE, " ")).otherwise(text)
-    return F.array_remove(F.split(plain, " "), "")
-
-
 def distinct_texts(pages: DataFrame) -> DataFrame:
     """One row a text, whatever its copies; only texts that have copies are shuffled."""
     again = stored(pages.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id"))  # then its size is known
@@ -722,17 +749,64 @@ def distinct_texts(pages: DataFrame) -> DataFrame:
 
 def clean_words(pages: DataFrame) -> DataFrame:
     """(word, n_clean): words of clean files, small, with the number of texts that have them."""
-    distinct = F.array_distinct(_tokens(F.replace(F.col("content"), F.lit("\n"), F.lit(" "))))
-    words = F.array_distinct(F.transform(distinct, lambda x: F.lower(F.btrim(x, F.lit(EDGES)))))
     clean = distinct_texts(pages.where("not scan").select("text_id", "scan", "content"))
-    return clean.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_clean"))
+    counted = counted_words(clean.select("content"), lambda text: _words_of(text.lower()))
+    return counted.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n_clean"))
+
 
+def counted_words(texts: DataFrame, words: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(word, n): how often ``words`` of the texts in the only column give each; several rows a word, for sums to come: they are
+    counted over many texts before they cross to the JVM."""
 
-def scan_words(pages: DataFrame) -> DataFrame:
-    """(file_id, text_id, word, lines) of scans, without furniture; a word over two lines has both."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.iloc[:, 0]:
+                counts.update(words(text))
+                if len(counts) > 100_000:
+                    yield pd.DataFrame(counts.items(), columns=["word", "n"])
+                    counts.clear()
+        yield pd.DataFrame(counts.items(), columns=["word", "n"])
+
+    return texts.mapInPandas(count, "word string, n bigint")
+
+
+def word_bits(words: DataFrame) -> Broadcast[bytes]:
+    """A bit set for the hash of every ``word``: a word without its bit (``_has_bit``) is not among them. Of fixed size; the
+    more words, the more others pass too, so it saves rows before a join and never stands for it."""
+    at = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WORD_BITS))
+    rows = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = array("q", bytes(WORD_BITS // 8))
+    for k, bits in zip(rows["k"].to_pylist(), rows["bits"].to_pylist()):
+        table[k] = bits
+    if sys.byteorder == "big":
+        table.byteswap()
+    return words.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def _has_bit(bits: bytes, word: str) -> int:
+    at = crc32(word.encode()) % WORD_BITS
+    return bits[at >> 3] >> (at & 7) & 1
+
+
+def scan_words(pages: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(file_id, text_id, word, lines) of scans, without furniture; a word over two lines has both. For a join with ``among``,
+    most words that it hasn't are left out."""
     scans = pages.where("scan")
-    each = scans.select("file_id", "text_id", F.explode("words").alias("w"))
-    single = each.select("file_id", "text_id", F.substring_index("w", "\t", 1).alias("word"), F.substring_index("w", "\t", -1).alias("lines"))
+    known = word_bits(among) if among is not None else None
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file_id, text_id, words in zip(batch["file_id"], batch["text_id"], batch["words"]):
+                each = words.split()
+                out += [(file_id, text_id, w, lines) for w, lines in zip(each[::2], each[1::2]) if known is None or _has_bit(known.value, w)]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["file_id", "text_id", "word", "lines"])
+                    out = []
+            yield pd.DataFrame(out, columns=["file_id", "text_id", "word", "lines"])
+
+    single = scans.select("file_id", "text_id", "words").mapInPandas(work, "file_id bigint, text_id bigint, word string, lines string")
     broken = scans.select("file_id", "text_id", F.explode("breaks").alias("x")).select("file_id", "text_id", "x.word", F.concat_ws(",", F.col("x.line") + 1, F.col("x.next") + 1).alias("lines"))
     return single.unionByName(broken)
 
@@ -746,8 +820,9 @@ def asked_words(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     proves nothing), and then counts as misread only for a word that clean texts have ``DOUBT`` times as often.
     """
     scans = distinct_texts(pages.where("scan").select("text_id", "scan", "words", "breaks"))
-    each = F.concat(F.transform("words", lambda w: F.substring_index(w, "\t", 1)), F.array_distinct(F.transform("breaks", lambda b: b.word)))
-    counted = stored(scans.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(_fits(F.col("word"))))
+    broken = scans.select(F.explode(F.array_distinct("breaks.word")).alias("word"), F.lit(1).cast("bigint").alias("n"))
+    each = counted_words(scans.select("words"), lambda text: text.split()[::2]).unionByName(broken)
+    counted = stored(each.groupBy("word").agg(F.sum("n").alias("n")).where(_fits(F.col("word"))))
     small = counted.groupBy(F.lower("word").alias("_small")).agg(F.sum("n").alias("n_scan"))
     texts = pages.agg(*[F.count_distinct(F.when(which, F.col("text_id"))) for which in (F.col("scan"), ~F.col("scan"))]).first()
     rate = F.col("n_clean") * float(texts[0]) * DOUBT < (F.col("n_scan") - 1) * float(texts[1])
@@ -788,13 +863,14 @@ def proposals(words: DataFrame, lexicon: DataFrame, editor: Editor) -> DataFrame
     Every single edit of a word is as long as the word itself, so those of words beyond ``LONG`` characters are found
     from the clean words instead, by the half that the edit leaves alone.
     """
+    known = word_bits(lexicon)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for word, n in zip(batch["word"], batch["n"]):
                 for rank, p in enumerate(editor.proposals(word, len(word) <= LONG)):
-                    if p.text != word and BREAK not in p.text:
+                    if p.text != word and BREAK not in p.text and _has_bit(known.value, p.text.lower()):
                         out.append((word, n, p.text, p.joined, p.changed, p.margin, rank))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=_PROPOSAL)
@@ -972,7 +1048,8 @@ def found_faults(files: DataFrame) -> DataFrame:
     line = lambda x: x + 1
     marked = pages.where("scan").select("file_id", F.explode(F.map_from_arrays(F.array(F.lit("furniture"), F.lit("broken_word")), F.array(F.transform("furniture", line), F.transform("breaks.line", line)))).alias("fault", "lines"))
     known = marked.select("file_id", F.explode("lines").alias("line_no"), "fault")
-    hits = scan_words(pages).join(fixes.where("changed").select("word", "second"), "word")
+    changes = fixes.where("changed").select("word", "second")
+    hits = scan_words(pages, changes).join(changes, "word")
     lines = F.split("lines", ",").cast("array<int>")
     on = F.when(F.col("word").contains(BREAK), F.array(F.when(F.col("second"), lines[1]).otherwise(lines[0]))).otherwise(lines)
     return known.unionByName(hits.select("file_id", F.explode(on).alias("line_no"), F.lit("misread").alias("fault"))).distinct()
@@ -1021,7 +1098,7 @@ def repair(content: str, furniture: set[int], breaks: dict[int, tuple[str, int]]
 def repaired_files(files: DataFrame) -> DataFrame:
     """(file_id, repaired) of scans."""
     pages, fixes = models(files)
-    per = scan_words(pages).select("file_id", "word").join(fixes, "word").groupBy("file_id").agg(F.collect_set(F.struct("word", "fixed", "joined", "changed")).alias("fixes"))
+    per = scan_words(pages, fixes).select("file_id", "word").join(fixes, "word").groupBy("file_id").agg(F.collect_set(F.struct("word", "fixed", "joined", "changed")).alias("fixes"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
