@@ -18,6 +18,7 @@ word more frequent in clean files. Repeated rows are judged one by one.
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
@@ -53,6 +54,12 @@ MISREADINGS = (
 )
 
 
+def _seldom_collect() -> None:
+    """In Python workers: no object made here is part of a cycle, so counting references frees all in time."""
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 100)
+
+
 class Perceptron:
     """Multiclass, averaged over all steps."""
 
@@ -569,6 +576,7 @@ def learnt_pages(clean: DataFrame) -> PageModel:
     sharded = texts.withColumn("part", F.pmod(F.xxhash64("text_id"), F.lit(parts)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seldom_collect()
         for batch in batches:
             words, openings = Counter(), Counter()
             for text in batch["content"]:
@@ -586,6 +594,7 @@ def learnt_pages(clean: DataFrame) -> PageModel:
     vocabulary = frozenset(r["feature"] for r in known if r["kind"] == "word")
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _seldom_collect()
         mine = list(part.drop_duplicates("text_id").sort_values("text_id")["content"])
         rows = [(kind, f, "", w) for kind, weights in zip(("large", "small"), train_furniture(mine, 7 + int(key[0]), openers, layouts)) for f, w in weights.items()]
         return pd.DataFrame(rows, columns=["kind", "feature", "label", "weight"])
@@ -710,14 +719,14 @@ def _placed_words(lines: list[str], furniture: set[int], breaks: dict[int, tuple
             del tokens[-1:]
         if i in begun:
             del tokens[:1]
-        at = f",{i + 1}"
+        at = str(i + 1)
         for t in tokens:
-            where[t] = where[t] + at if t in where else at
+            where[t] = f"{where[t]},{at}" if t in where else at
     merged: dict[str, str] = {}
     for t, at in where.items():
         if c := t.strip(EDGES):
-            merged[c] = merged[c] + at if c in merged else at
-    return "\n".join([f"{w}\t{at[1:]}" for w, at in merged.items()])
+            merged[c] = f"{merged[c]},{at}" if c in merged else at
+    return "\n".join(map("\t".join, merged.items()))
 
 
 def judged_pages(files: DataFrame, model: PageModel) -> DataFrame:
@@ -725,6 +734,7 @@ def judged_pages(files: DataFrame, model: PageModel) -> DataFrame:
     words with the lines they stand on, as one string (it crosses to the JVM at a fraction of the cost of arrays)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seldom_collect()
         for batch in batches:
             scan, furniture, breaks, words = [], [], [], []
             for content, is_pdf, file_type in zip(batch["content"], batch["is_pdf"], batch["file_type"]):
@@ -759,6 +769,7 @@ def counted_words(texts: DataFrame, words: Callable[[str], Iterable[str]]) -> Da
     counted over many texts before they cross to the JVM."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seldom_collect()
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.iloc[:, 0]:
@@ -796,11 +807,13 @@ def scan_words(pages: DataFrame, among: DataFrame | None = None) -> DataFrame:
     known = word_bits(among) if among is not None else None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seldom_collect()
+        bits = known.value if known is not None else None
         for batch in batches:
             out = []
             for file_id, text_id, words in zip(batch["file_id"], batch["text_id"], batch["words"]):
                 each = words.split()
-                out += [(file_id, text_id, w, lines) for w, lines in zip(each[::2], each[1::2]) if known is None or _has_bit(known.value, w)]
+                out += [(file_id, text_id, w, lines) for w, lines in zip(each[::2], each[1::2]) if bits is None or _has_bit(bits, w)]
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=["file_id", "text_id", "word", "lines"])
                     out = []
@@ -866,11 +879,13 @@ def proposals(words: DataFrame, lexicon: DataFrame, editor: Editor) -> DataFrame
     known = word_bits(lexicon)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _seldom_collect()
+        bits = known.value
         for batch in batches:
             out: list[tuple] = []
             for word, n in zip(batch["word"], batch["n"]):
                 for rank, p in enumerate(editor.proposals(word, len(word) <= LONG)):
-                    if p.text != word and BREAK not in p.text and _has_bit(known.value, p.text.lower()):
+                    if p.text != word and BREAK not in p.text and _has_bit(bits, p.text.lower()):
                         out.append((word, n, p.text, p.joined, p.changed, p.margin, rank))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=_PROPOSAL)
